@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewheel.llm import token_files
+from tracewheel.llm import mixing, sharding, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mixing": mixing.query,
+    "op3_simhash_near_dedup": simhash.query,
+    "op4_shard_packing": sharding.query,
     "op8_token_binary": token_files.query,
 }
 
