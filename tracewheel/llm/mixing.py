@@ -142,7 +142,7 @@ def mixed_pieces(sized: DataFrame, block: int = BLOCK_WORDS, shard_slots: int =
     parts = pieces(placed, block, ["doc_id", "h"])
     mixed = parts.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left").drop("_source", "_block")
     taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("n_words"), F.col("limit") - F.col("at")))
-    return mixed.withColumn("taken", F.coalesce(taken, F.lit(0).cast("long"))), plan
+    return mixed.withColumn("taken", F.when(F.col("limit").isNull(), F.lit(0).cast("long")).otherwise(taken)), plan
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
