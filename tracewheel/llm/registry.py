@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewheel.llm import mixing, sharding, simhash, token_files
+from tracewheel.llm import mixing, quality, sharding, simhash, token_files, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_shard_packing": sharding.query,
+    "op5_quality_rules": quality.query,
+    "op7_decontamination": winnow.query,
     "op8_token_binary": token_files.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": quality.ORACLE,
+    "op7_decontamination": winnow.ORACLE,
+}
