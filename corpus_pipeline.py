@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewheel.llm import token_files
+from tracewheel.llm import mixing, quality, simhash, token_files, winnow
 from tracewheel.llm.common import fresh_path
 
 
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base test and every quality rule."""
+    return quality.keep_good(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked SimHash fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside any window of a benchmark item."""
+    return winnow.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row a document and epoch in which it is taken, with the words taken."""
+    return mixing.mix_documents(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID / binary output: what the token files hold of each document."""
     return token_files.token_binary(docs)
 
 
-STAGES = [("token binary output", encode)]
+STAGES = [
+    ("quality rules", filter_quality),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("source mixing", mix_sources),
+    ("token binary output", encode),
+]
 
 #: SQL has no byte-pair encoding; the tests hold run() against a plain Python version.
 ORACLE_SQL = None
