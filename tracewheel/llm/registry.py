@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewheel.llm import mixing, quality, sharding, simhash, token_files, winnow
+from tracewheel.llm import chat, mixing, quality, sharding, simhash, token_files, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": mixing.query,
@@ -15,9 +15,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": quality.query,
     "op7_decontamination": winnow.query,
     "op8_token_binary": token_files.query,
+    "op10_chat_format": chat.query,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.ORACLE,
     "op7_decontamination": winnow.ORACLE,
+    "op10_chat_format": chat.ORACLE,
 }
