@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewheel.llm import chat, mixing, quality, sharding, simhash, token_files, winnow
+from tracewheel.llm import chat, mixing, pii, quality, sharding, simhash, token_files, urlfilter, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": pii.query,
     "op2_source_mixing": mixing.query,
     "op3_simhash_near_dedup": simhash.query,
     "op4_shard_packing": sharding.query,
     "op5_quality_rules": quality.query,
+    "op6_url_filters": urlfilter.query,
     "op7_decontamination": winnow.query,
     "op8_token_binary": token_files.query,
     "op10_chat_format": chat.query,
@@ -20,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.ORACLE,
+    "op6_url_filters": urlfilter.ORACLE,
     "op7_decontamination": winnow.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }
