@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewheel.llm import chat, mixing, pii, quality, sharding, simhash, token_files, urlfilter, winnow
+from tracewheel.llm import chat, mixing, pii, quality, sharding, simhash, token_files, toxicity, urlfilter, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": pii.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": urlfilter.query,
     "op7_decontamination": winnow.query,
     "op8_token_binary": token_files.query,
+    "op9_toxicity": toxicity.query,
     "op10_chat_format": chat.query,
 }
 
@@ -24,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.ORACLE,
     "op6_url_filters": urlfilter.ORACLE,
     "op7_decontamination": winnow.ORACLE,
+    "op9_toxicity": toxicity.query,
     "op10_chat_format": chat.ORACLE,
 }
