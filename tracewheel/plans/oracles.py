@@ -125,11 +125,11 @@ gs AS (SELECT pair_id, CAST(-1 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS used,
        UNION ALL SELECT pair_id, pos, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, hit FROM (
          SELECT gs.pair_id, nl.pos, used, coalesce(list_filter(base, lambda x: x.name = nl.name AND NOT list_contains(used, x.pos))[1].pos, list_filter(base, lambda x: x.sig = nl.sig AND NOT list_contains(used, x.pos))[1].pos) AS hit
          FROM gs JOIN nl ON nl.pair_id = gs.pair_id AND nl.pos = gs.pos + 1 JOIN bl ON bl.pair_id = gs.pair_id)),
-mm AS (SELECT nl.pair_id, 0 AS part, nl.pos AS at, coalesce(bk.name, '') AS baseline, nl.name AS new, CASE WHEN hit IS NULL THEN 'new_only' WHEN bk.name = nl.name THEN 'exact' ELSE 'similar' END AS match_type, nl.sig,
+mm AS (SELECT nl.pair_id, 0 AS part, nl.pos AS place, coalesce(bk.name, '') AS baseline, nl.name AS new, CASE WHEN hit IS NULL THEN 'new_only' WHEN bk.name = nl.name THEN 'exact' ELSE 'similar' END AS match_type, nl.sig,
               coalesce(bk.avg_dur, 0) AS base_avg, nk.avg_dur AS new_avg, bk.pos AS base_pos, nl.pos AS new_pos
        FROM gs JOIN nl ON nl.pair_id = gs.pair_id AND nl.pos = gs.pos JOIN kk nk ON nk.pair_id = nl.pair_id AND nk.side = 'new' AND nk.pos = nl.pos LEFT JOIN kk bk ON bk.pair_id = gs.pair_id AND bk.side = 'baseline' AND bk.pos = hit
        UNION ALL SELECT kk.pair_id, 1, pos, name, '.', 'removed', sig, avg_dur, 0, pos, NULL FROM kk WHERE side = 'baseline' AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.pair_id = kk.pair_id AND gs.hit = kk.pos)),
-mo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY part, at) - 1 AS ord, CASE WHEN base_avg > 0 AND new_avg > 0 THEN (new_avg - base_avg) / base_avg * 100 END AS change_pct FROM mm)"""
+mo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY part, place) - 1 AS ord, CASE WHEN base_avg > 0 AND new_avg > 0 THEN (new_avg - base_avg) / base_avg * 100 END AS change_pct FROM mm)"""
 
 KMERS = """
 k3 AS (SELECT a.seq, a.name || '|' || b.name || '|' || c.name AS kmer FROM e a JOIN e b ON b.seq = a.seq + 1 JOIN e c ON c.seq = a.seq + 2),

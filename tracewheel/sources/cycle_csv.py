@@ -33,7 +33,7 @@ def cycle_csv_text(header: dict, rows: list[dict]) -> str:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value): the lines of each file; a file is a few dozen lines and is read whole."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
