@@ -79,6 +79,11 @@ def source_plan(rows: DataFrame, block: int) -> DataFrame:
     )
 
 
+def spread_over(df: DataFrame) -> int:
+    """Partitions to deal few rows to that grow to many: a number that is stated is not coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def draw_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """(shard, source, n, first): each output shard's draw, and how many slots of the source earlier shards have.
 
@@ -90,7 +95,7 @@ def draw_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     # Running ends of the ranges, in source order.
     ends = F.aggregate(F.col("s"), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x["slots"] + F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0)))))
     shards = ranges.where("total > 0").select(F.col("s.source").alias("names"), ends.alias("ends"), "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_slots).cast("long"))).alias("shard"))
-    dealt = shards.repartition("shard")
+    dealt = shards.repartition(spread_over(plan), "shard")
     last = F.least(F.col("total"), (F.col("shard") + 1) * shard_slots) - 1
     slots = dealt.select("names", "ends", "total", "shard", F.explode(F.sequence(F.col("shard") * shard_slots, last)).alias("slot"))
     place = permute(F.col("slot"), F.col("total"), F.lit(seed))
@@ -108,7 +113,7 @@ def slot_blocks(draws: DataFrame, plan: DataFrame, block: int, seed: int) -> Dat
     what is left of the target.
     """
     s = plan.select(F.col("source").alias("_source"), "epochs", "rest", "full", "blocks")
-    slots = draws.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    slots = draws.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").repartition(spread_over(plan), "shard", "source")
     slots = slots.select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("index"))
     slots = slots.withColumn("epoch", F.floor(F.col("index") / F.col("blocks")).cast("long")).withColumn("place", F.pmod("index", "blocks"))
     key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), F.col("epoch"))
@@ -140,7 +145,8 @@ def mixed_pieces(sized: DataFrame, block: int = BLOCK_WORDS, shard_slots: int =
     slots = slot_blocks(draw_counts(plan, shard_slots, seed), plan, block, seed)
     slots = slots.withColumnsRenamed({"source": "_source", "block": "_block"})
     parts = pieces(placed, block, ["doc_id", "h"])
-    mixed = parts.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left").drop("_source", "_block")
+    # Slots grow with the corpus and are never broadcast, though their plan starts from one row.
+    mixed = parts.join(slots.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left").drop("_source", "_block")
     taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("n_words"), F.col("limit") - F.col("at")))
     return mixed.withColumn("taken", F.when(F.col("limit").isNull(), F.lit(0).cast("long")).otherwise(taken)), plan
 
