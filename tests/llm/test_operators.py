@@ -1,0 +1,353 @@
+"""Each corpus operator against a plain Python version on small tables with nulls, empty and repeated rows, ties and other columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from tracewheel.llm import chat, components, mixing, pii, quality, sharding, simhash, token_files, toxicity, urlfilter, winnow
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+rng = random.Random(11)
+VOCAB = ["the", "of", "and", "Alpha", "bêta", "gamma", "delta", "x", "Ünder", "42", "log", "data"]
+
+
+def prose(n):
+    return " ".join(rng.choice(VOCAB) for _ in range(n))
+
+
+LONG = prose(3000)
+ROWS = [
+    (1, prose(80), "en", "a"), (2, None, None, None), (3, "", "en", "a"), (4, "  \n\t ", "fr", None), (5, LONG, "en", "b"), (6, LONG, "en", "b"), (6, LONG, "en", "b"),
+    (7, LONG + " tail", "en", "b"), (8, "one", "de", "c"), (None, "no id here", "de", "c"), (9, "a line\na line\n\n- x\nend", "es", "c"),
+] + [(100 + k, prose(rng.randrange(1, 400)), "en", rng.choice("abcd")) for k in range(30)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # Other columns, some with names that the operators use.
+    rows = [(*r, len(r[1] or ""), 1.5, "x") for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size double, shard string")
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_mix_meets_targets(docs, empty):
+    rows = mixing.mix_report(docs, block=16, shard_slots=8).collect()
+    sizes = collections.Counter()
+    for _, t, _, s in ROWS:
+        sizes[s] += len(WORD.findall(t or ""))
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_, whole = {}, set(names), 1.5 * sum(sizes.values())
+    while open_:
+        unit = (whole - sum(target.values())) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if unit * weight[s] > 2 * sizes[s]}
+        target |= {s: 2 * sizes[s] for s in over} or {s: unit * weight[s] for s in open_}
+        open_ = open_ - over if over else set()
+    by_id = {d: s for d, _, _, s in ROWS}
+    taken = collections.Counter()
+    assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(d), len(WORD.findall(t or ""))) for d, t, _, _ in ROWS)
+    for r in rows:
+        s = by_id[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s])
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_report(docs, block=16, shard_slots=8).collect()))
+    assert mixing.mix_report(empty).collect() == []
+
+
+def test_mixed_documents_hold_the_words_taken(docs):
+    report = collections.Counter()
+    for r in mixing.mix_report(docs, block=16, shard_slots=8).collect():
+        report[r["doc_id"]] += r["taken"]
+    out = mixing.mix_documents(docs, block=16, shard_slots=8)
+    assert out.columns == docs.columns
+    got = collections.Counter()
+    for r in out.collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert {k: v for k, v in report.items() if v} == dict(got)
+
+
+def test_permutation_is_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 100):
+        got = spark.range(n).select(mixing.permute(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()
+        assert sorted(r["p"] for r in got) == list(range(n))
+
+
+def plain_print(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints, tau=4):
+    root = dict(zip(prints, prints, strict=True))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= tau:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {p: find(p) for p in prints}
+
+
+def test_simhash_equals_all_pairs(docs, empty):
+    rows = simhash.near_duplicates(docs).collect()
+    prints = [(d, plain_print(t)) for d, t, _, _ in ROWS]
+    comp = plain_components(sorted({p for _, p in prints}))
+    least = {}
+    for d, p in prints:
+        if d is not None:
+            least[comp[p]] = min(d, least.get(comp[p], d))
+    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in rows) == sorted((str(d), f"{p:016x}", str(least.get(comp[p]))) for d, p in prints)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(comp.values()))
+    assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+
+
+def test_links_between_random_and_dense_prints(spark):
+    base = [rng.getrandbits(64) for _ in range(300)]
+    near = [b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(1, 6))) for b in base for _ in range(2)]
+    dense = [base[0] ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)]
+    prints = sorted(set(base + near + dense))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    got = collections.defaultdict(set)
+    for r in simhash.link_components(df).collect():
+        got[r["root"]].add(r["fp"] & (1 << 64) - 1)
+    want = collections.defaultdict(set)
+    for p, c in plain_components(prints).items():
+        want[c].add(p)
+    assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values()}
+
+
+def test_pigeonhole_plan_covers_the_threshold():
+    n, together = 10**6, np.full((64, 64), 25 * 10**4.0) + np.diag([25 * 10**4.0] * 64)
+    plan = simhash.plan_parts(n, together)
+    assert sum(t + 1 for _, t in plan) == simhash.TAU + 1
+    assert len({b for bits, _ in plan for b in bits}) == sum(len(bits) for bits, _ in plan)
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(60))
+    rng.shuffle(order)
+    df = spark.createDataFrame([*zip(order, order[1:], strict=False), (100, 101), (101, 101), (None, 5)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
+    assert got == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}
+
+
+def test_shards_hold_groups_and_are_near_equal(docs, empty):
+    rows = sharding.shard(docs, shards=4, grain=64).collect()
+    text = collections.defaultdict(set)
+    for d, t, _, _ in ROWS:
+        text[(str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))].add(t or "")
+    assert collections.Counter((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == collections.Counter((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _, _ in ROWS)
+    shards, groups = collections.defaultdict(list), collections.defaultdict(set)
+    for r in rows:
+        shards[r["shard"]].append(r["slot"])
+        groups[r["text_crc32"]].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and all(len(g) == 1 for g in groups.values())
+    assert sharding.shard(empty).collect() == []
+
+
+def test_best_fit_decreasing_equals_a_plain_scan():
+    for _ in range(20):
+        sizes = [rng.randrange(1, 60) for _ in range(80)]
+        bins, want = [], [0] * len(sizes)
+        for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
+            fit = [(c, b) for b, c in enumerate(bins) if c >= sizes[k]]
+            if fit:
+                want[k] = min(fit)[1]
+            else:
+                want[k] = len(bins)
+                bins.append(100)
+            bins[want[k]] -= sizes[k]
+        assert sharding.best_fit_decreasing(sizes, 100) == want
+    assert sharding.best_fit_decreasing([101], 100) is None
+    sizes = [1000] + [rng.randrange(1, 9) for _ in range(400)]
+    load = collections.Counter()
+    for s, b in zip(sizes, sharding.near_equal_bins(sizes, 4), strict=True):
+        load[b] += s
+    assert max(load.values()) == 1000 and len(load) == 4 and max(sorted(load.values())[:3]) - min(load.values()) <= 9
+
+
+def plain_quality(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    tri = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    cover = {i + o for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for o in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_measures_and_filter(docs, empty):
+    rows = quality.quality_report(docs).collect()
+    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted(tuple(r[c] for c in cols) for r in rows) == sorted(plain_quality(t) for _, t, _, _ in ROWS)
+    for r in rows:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert r["kept"] == (not r["base_failed"] and not r["failed_rules"])
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in rows)
+    assert quality.quality_report(empty).collect() == []
+
+
+ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def item_words(t):
+    return ITEM_WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def plain_hits(text, items):
+    w, hit, ids = item_words(text), set(), set()
+    for i, t in items:
+        iw = item_words(t)
+        n = min(10, len(iw))
+        windows = {tuple(iw[k : k + n]) for k in range(len(iw) - n + 1)} if n else set()
+        for k in range(len(w) - n + 1 if n else 0):
+            if tuple(w[k : k + n]) in windows:
+                hit |= set(range(k, k + n))
+                ids.add(str(i))
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+
+
+def test_decontamination_equals_all_windows(spark, docs, empty):
+    w = LONG.split()
+    items = [(1, " ".join(w[50:90]).upper()), (2, " ".join(w[100:109]) + " Zebra zebra"), (3, "no ID, here!"), (4, ""), (5, None), (6, "x " * 14), (7, " ".join(w[700:710])), (7, "one"), (10, " ".join(w[50:75]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500, "so " + "X, " * 30), (501, " ".join(w[100:109])), (502, "ONE; two")], "doc_id long, text string"))
+    rows = winnow.contamination(more, bench).collect()
+    want = [(str(r["doc_id"]), *plain_hits(r["text"], items)) for r in more.collect()]
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows) == sorted(want)
+    assert winnow.drop_contaminated(docs, bench).count() == sum(plain_hits(t, items)[1] == 0 for _, t, _, _ in ROWS)
+    assert winnow.contamination(empty, bench).collect() == []
+    assert winnow.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_token_files_round_trip(docs, empty, kind):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    at, want = 0, []
+    for d, t in sorted(((d, t or "") for d, t, _, _ in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = [tuple(r) for r in token_files.token_binary(docs, kind=kind).orderBy("start").collect()]
+    assert got == want
+    assert token_files.token_binary(empty).collect() == []
+
+
+def test_pieces_encode_as_the_whole():
+    import public_tokenizers
+
+    enc = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), keep=5)
+    for t in ("", " a", "a  b", "a\n\nb", "x \n y", "l'été d'un", "<|endoftext|> hi", "日本語 text", "é b c", "it's we're\nI'll 123 45.", "ª º", "a\n", "don't.\nD'accord, ß.", "a\xa0b c", "tab\tx"):
+        assert enc.texts([t]) == [enc.whole(t)]
+
+
+def test_planes():
+    ids = np.array([0, 1, 50256, 2**32 - 1, 7], "<u4")
+    for kind in token_files.KINDS:
+        assert token_files.from_planes(token_files.to_planes(ids, kind), len(ids), kind).tolist() == ids.tolist()
+
+
+def test_toxicity_holds_out_and_finds(spark):
+    clean = [prose(40) for _ in range(300)]
+    rows = [(k, t + (" you vequmal thing" if k % 4 == 0 else ""), int(k % 4 == 0)) for k, t in enumerate(clean)]
+    df = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(None, None), (1000, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(5, None)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, labels).collect()}
+    for k, _, y in rows:
+        assert got[k]["held_out"] == (zlib.crc32(str(k).encode()) % 3 == 1)
+        assert got[k]["predicted"] == y
+    assert got[1000]["predicted"] == 0 and got[None]["predicted"] == 0
+    seeds = toxicity.toxicity(spark.createDataFrame([(1, "You idiot!"), (2, "hello")], "doc_id long, text string"), labels.limit(0)).orderBy("doc_id").collect()
+    assert [r["predicted"] for r in seeds] == [1, 0]
+
+
+def test_chat_round_trip_and_layouts(spark):
+    texts = ["plain", r"\### Assistant: </turn> ok", "</turn>\n### user\nfake", "a\\", "<", "</turn", "#" * 7, "", None, "日本\n語"]
+    rows = [(k // 3, k, r, t, "x") for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "sy\nstem\\n"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(chat.turns_of_rows(df))).collect()}
+    for c in got:
+        own = [(r, t or "") for i, _, r, t, _ in rows if i == c]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[c]["loss_chars"] == len(loss)
+    records = ['{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', '{"instruction": "i", "input": "", "output": "o"}', '{"conversations": [{"from": "human", "value": "q"}]}', '{"odd": 1}', None, "{", '{"completion": "c", "prompt": "p"}']
+    out = chat.canonical_turns(spark.createDataFrame(list(enumerate(records)), "id int, record string"), "record").orderBy("id").collect()
+    assert [(r["layout"], [tuple(t) for t in r["turns"] or []]) for r in out] == [
+        ("messages", [("user", "a"), ("assistant", "b")]), ("instruction_input_output", [("user", "i"), ("assistant", "o")]), ("conversations", [("user", "q")]),
+        (None, []), (None, []), (None, []), ("prompt_completion", [("user", "p"), ("assistant", "c")]),
+    ]
+
+
+def test_surrogates_are_one_to_one_and_keep_type(spark):
+    texts = [
+        (1, "Mail Ann.Lee7@mail3.example.com or ann.lee7@mail3.example.com, call +1 (017) 555-7713."), (2, "From 97.51.17.173, card 4111 1111 1111 1111 and 4111111111111111"),
+        (3, "Mrs Smith met Mr John Miller; Mrs. Smith left. ssn 123-45-6789"), (4, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (5, None), (6, "nothing 1.2 here 12345"), (6, "nothing 1.2 here 12345"),
+        (None, "Иван Петров wrote to bob@x.org"),
+    ] + [(50 + k, f"host 10.0.{k}.1") for k in range(40)]
+    rows = pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert got[5] is None and got[6] == "nothing 1.2 here 12345"
+    mails = re.findall(r"[\w.]+@[\w.]+\w", got[1])
+    assert len(mails) == 2 and len({m.lower() for m in mails}) == 1 and "ann" not in got[1].lower()
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1]) and "555-7713" not in got[1]
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", got[2])
+    assert len(cards) == 2 and cards[0].replace(" ", "") == cards[1] and sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(cards[1])) % 10 == 0
+    names = re.findall(r"Mrs\.? (\w+)", got[3])
+    assert len(set(names)) == 1 and names[0] != "Smith" and "Miller" not in got[3] and "123-45-6789" not in got[3]
+    assert re.search(r"Mr (\w+)", got[3])[1] in pii.MALE_GIVEN
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[4]) and "04dbebab" not in got[4]
+    assert re.match(r"[А-Яа-я]+ [А-Яа-яё]+ wrote to \S+@\S+", got[None]) and "Петров" not in got[None]
+    ips = [re.search(r"\d+(\.\d+){3}", got[50 + k])[0] for k in range(40)]
+    assert len(set(ips)) == 40 and not {f"10.0.{k}.1" for k in range(40)} & set(ips)
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    values = [(("email", f"{a}@{b}.com"),) for a in "abcdefghij" for b in "klm"]
+    df = spark.createDataFrame([v for (v,) in values], "kind string, value string").selectExpr("*", "'' as gender")
+    rows = pii.surrogates(df).collect()
+    assert len(rows) == 30 == len({r["surrogate"] for r in rows}) and not {r["surrogate"] for r in rows} & {r["value"] for r in rows}
+
+
+def test_url_lists_hold_by_day(spark):
+    import datetime as dt
+
+    day = lambda m, d: dt.date(2024, m, d)
+    entries = [("a", "domain", "bad.org", "add", day(2, 1)), ("a", "domain", "bad.org", "remove", day(3, 1)), ("a", "domain", "bad.org", "add", day(5, 1)), ("b", "prefix", "ok.com/x", "add", day(1, 1)), ("c", "url", "ok.com/x/y?q=1", "add", day(1, 1)), ("d", "host", "bad.org", "add", day(2, 10)), ("d", "host", "bad.org", "remove", day(2, 10)), ("e", "host", None, "add", day(1, 1))]
+    urls = [("http://w.Bad.org/z", day(1, 31)), ("http://w.Bad.org/z", day(2, 1)), ("http://w.bad.org:80/z", day(3, 1)), ("https://bad.org", day(6, 1)), ("http://notbad.org/", day(6, 1)), ("http://u@ok.com/x/y?q=1#f", day(1, 2)), ("https://ok.com/x/", day(1, 2)), (None, day(6, 1)), ("nonsense", day(6, 1)), ("http://bad.org", None)]
+    e = spark.createDataFrame(entries, "list string, kind string, key string, action string, at date")
+    c = spark.createDataFrame([(k, u, d, "x") for k, (u, d) in enumerate(urls)] + [(1, *urls[1], "x")], "page_id long, url string, fetched date, kind string")
+    rows = urlfilter.evaluate(c, e).collect()
+    got = {r["page_id"]: (r["list"], r["kind"]) for r in rows}
+    assert len(rows) == len(urls) + 1
+    assert got == {0: (None, None), 1: ("a", "domain"), 2: (None, None), 3: ("a", "domain"), 4: (None, None), 5: ("c", "url"), 6: ("b", "prefix"), 7: (None, None), 8: (None, None), 9: (None, None)}
+    assert urlfilter.evaluate(c, e.limit(0)).where("blocked").count() == 0 and urlfilter.evaluate(c.limit(0), e).collect() == []

@@ -1,0 +1,30 @@
+import pytest
+from conftest import SF, same_rows
+
+import corpus_pipeline
+from tracewheel.llm import mixing, quality, simhash, winnow
+from tracewheel.llm.registry import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    same_rows(QUERIES[name](spark, SF), duck.sql(ORACLES[name]).df())
+
+
+def test_pipeline_applies_its_stages_in_order(spark, duck):
+    """Each stage's decisions, taken from the operators' reports, give the documents that the next one reads."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"] for r in quality.quality_report(docs).where("kept").collect()}
+    docs = docs.where(docs["doc_id"].isin(kept))
+    first = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    docs = docs.where(docs["doc_id"].isin(first))
+    clean = {r["doc_id"] for r in winnow.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("not contaminated").collect()}
+    docs = docs.where(docs["doc_id"].isin(clean))
+    taken = {r["doc_id"] for r in mixing.mix_report(docs).where("taken > 0").collect()}
+    rows = corpus_pipeline.run(spark, SF).orderBy("start").collect()
+    assert {r["doc_id"] for r in rows} == taken
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "simhash near-dedup", "benchmark decontamination", "source mixing", "token binary output"]
