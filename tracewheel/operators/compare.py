@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewheel.functions.names import change_class, change_percent, signature
+from tracewheel.operators.cycles import standard_instances
+from tracewheel.operators.stats import cycle_stats
 
 STATS = ("avg", "min", "max", "stddev")
 MATCH_SCHEMA = "pair_id long, ord long, baseline string, new string, match_type string, sig string, base_pos long, new_pos long"
@@ -36,6 +38,18 @@ def best_rotation(base: np.ndarray, new: np.ndarray) -> tuple[int, int]:
     return best
 
 
+def _rotation(rows: pd.DataFrame) -> pd.DataFrame:
+    base, new = _sides(rows)
+    codes = {s: k for k, s in enumerate(pd.unique(pd.concat([base["sig"], new["sig"]])))}
+    turn, length = best_rotation(base["sig"].map(codes).to_numpy(int), new["sig"].map(codes).to_numpy(int))
+    return pd.DataFrame({"pair_id": [rows["pair_id"].iloc[0]], "rotation": [turn], "lcs": [length]})
+
+
+def lcs_rotation(kernels: DataFrame) -> DataFrame:
+    """(pair_id, rotation, lcs): the rotation of the baseline that shares the longest subsequence of signatures."""
+    return kernels.groupBy("pair_id").applyInPandas(_rotation, "pair_id long, rotation long, lcs long")
+
+
 def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return tuple(rows[rows["side"] == s].sort_values("pos").reset_index(drop=True) for s in ("baseline", "new"))
 
@@ -117,6 +131,16 @@ def compare(kernels: DataFrame, mode: str = "align") -> DataFrame:
     return found.withColumn("change_pct", change).withColumn("change_class", F.when(F.col("match_type") == "new_only", "neutral").when(F.col("match_type") == "removed", "improved").otherwise(change_class(F.col("change_pct"))))
 
 
+def compare_traces(baseline: DataFrame, new: DataFrame, mode: str = "align") -> DataFrame:
+    """Matches of the standard cycles of two traces of one trace each, pair 0; empty sides match nothing."""
+    sides = []
+    for side, events in (("baseline", baseline), ("new", new)):
+        found, instances = standard_instances(events)
+        s = cycle_stats(events, found, instances)
+        sides.append(s.select(F.lit(0).cast("long").alias("pair_id"), F.lit(side).alias("side"), F.col("index").alias("pos"), "name", "avg_dur", "min_dur", "max_dur", "stddev"))
+    return compare(sides[0].unionByName(sides[1]), mode)
+
+
 def match_type_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("pair_id", "match_type").agg(F.count("*").alias("cnt"))
 

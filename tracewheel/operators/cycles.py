@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewheel.functions.names import signature, truncated
 from tracewheel.operators.anchors import MIN_LENGTH, anchor_gaps, consistent_anchors, div, steady, trace_sizes
 from tracewheel.operators.similarity import merge_similar
+from tracewheel.operators.stats import contiguous_instances
 from tracewheel.operators.verify import consecutive_repetitions, loose_repetitions, repetition_matches
 from tracewheel.storage import small_join, staged
 
@@ -103,20 +104,34 @@ def cycle_patterns(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def outer_cycle(events: DataFrame, phase: str = "auto") -> DataFrame:
     """One cycle a trace, of most repetitions, or of fewest for ``prefill``; anchors need six positions."""
-    cycles, _ = verified_anchors(events)
+    return best_outer(verified_anchors(events)[0], phase)
+
+
+def best_outer(cycles: DataFrame, phase: str) -> DataFrame:
     order = [F.asc("reps") if phase == "prefill" else F.desc("reps"), F.asc("cycle_id")]
     best = Window.partitionBy("trace_id").orderBy(*order)
     return cycles.where("cnt >= 6").withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
 
 
+def standard_instances(events: DataFrame, phase: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """One cycle a trace (trace_id, cycle_id, start, cycle_len, reps, kind) and its instances (trace_id, cycle_id, inst).
+
+    The outer cycle or its sub-cycle; where there is none, the exhaustive search.
+    """
+    signed = staged(signed_events(events), "signed")
+    cycles, instances = verified_anchors(signed)
+    outer = staged(best_outer(cycles, phase), "outer")
+    subs = staged(sub_cycles(template_rows(signed, outer)), "subs")
+    found = outer.join(subs, "cycle_id", "left").select("trace_id", "cycle_id", (F.col("start") + F.coalesce("sub_start", F.lit(0))).alias("start"), F.coalesce("sub_len", "cycle_len").alias("cycle_len"), (F.col("reps") * F.coalesce(F.size("offsets"), F.lit(1))).alias("reps"), F.when(F.col("sub_len").isNull(), "outer").otherwise("sub").alias("kind"))
+    offsets = F.explode(F.coalesce("offsets", F.array(F.lit(0).cast("long")))).alias("o")
+    insts = instances.join(outer.select("cycle_id"), "cycle_id", "left_semi").join(subs.select("cycle_id", "offsets"), "cycle_id", "left").select("trace_id", "cycle_id", "inst", offsets).select("trace_id", "cycle_id", (F.col("inst") + F.col("o")).alias("inst"))
+    rest = staged(auto_cycle(events.join(outer.select("trace_id"), "trace_id", "left_anti")).select("trace_id", F.concat_ws(":", "trace_id", "start", "cycle_len").alias("cycle_id"), "start", "cycle_len", "reps", F.lit("exhaustive").alias("kind")), "rest")
+    return found.unionByName(rest), insts.unionByName(contiguous_instances(rest))
+
+
 def standard_cycle(events: DataFrame, phase: str = "auto") -> DataFrame:
-    """(trace_id, start, cycle_len, reps, kind): outer cycle or its sub-cycle; where there is none, the exhaustive search."""
-    signed = signed_events(events)
-    outer = staged(outer_cycle(signed, phase), "outer")
-    subs = sub_cycles(template_rows(signed, outer))
-    found = outer.join(subs, "cycle_id", "left").select("trace_id", (F.col("start") + F.coalesce("sub_start", F.lit(0))).alias("start"), F.coalesce("sub_len", "cycle_len").alias("cycle_len"), (F.col("reps") * F.coalesce(F.size("offsets"), F.lit(1))).alias("reps"), F.when(F.col("sub_len").isNull(), "outer").otherwise("sub").alias("kind"))
-    rest = events.join(outer.select("trace_id"), "trace_id", "left_anti")
-    return found.unionByName(auto_cycle(rest).withColumn("kind", F.lit("exhaustive")))
+    """(trace_id, start, cycle_len, reps, kind) of the standard detector."""
+    return standard_instances(events, phase)[0].drop("cycle_id")
 
 
 def phases(patterns: DataFrame) -> DataFrame:

@@ -131,6 +131,15 @@ mm AS (SELECT nl.pair_id, 0 AS part, nl.pos AS place, coalesce(bk.name, '') AS b
        UNION ALL SELECT kk.pair_id, 1, pos, name, '.', 'removed', sig, avg_dur, 0, pos, NULL FROM kk WHERE side = 'baseline' AND NOT EXISTS (SELECT 1 FROM gs WHERE gs.pair_id = kk.pair_id AND gs.hit = kk.pos)),
 mo AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY part, place) - 1 AS ord, CASE WHEN base_avg > 0 AND new_avg > 0 THEN (new_avg - base_avg) / base_avg * 100 END AS change_pct FROM mm)"""
 
+ROTATIONS = """
+sq AS (SELECT pair_id, list(sig ORDER BY pos) FILTER (WHERE side = 'baseline') AS a, list(sig ORDER BY pos) FILTER (WHERE side = 'new') AS b FROM kk GROUP BY pair_id),
+rt AS MATERIALIZED (SELECT pair_id, r, list_concat(a[r + 1:], a[:r]) AS a, b FROM (SELECT pair_id, a, b, unnest(range(0, len(a))) AS r FROM sq)),
+lc AS (SELECT pair_id, r, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(b) + 1), lambda j: CAST(0 AS BIGINT)) AS row FROM rt
+       UNION ALL SELECT pair_id, r, i, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j])) FROM (
+         SELECT lc.pair_id, lc.r, lc.i + 1 AS i, list_concat([CAST(0 AS BIGINT)], list_transform(range(1, len(b) + 1), lambda j: greatest(row[j + 1], CASE WHEN b[j] = a[lc.i + 1] THEN row[j] + 1 ELSE 0 END))) AS cand
+         FROM lc JOIN rt ON rt.pair_id = lc.pair_id AND rt.r = lc.r WHERE lc.i < len(a))),
+le AS (SELECT pair_id, r, row[-1] AS lcs, row_number() OVER (PARTITION BY pair_id ORDER BY row[-1] DESC, r) AS rn FROM (SELECT pair_id, r, arg_max(row, i) AS row FROM lc GROUP BY pair_id, r))"""
+
 KMERS = """
 k3 AS (SELECT a.seq, a.name || '|' || b.name || '|' || c.name AS kmer FROM e a JOIN e b ON b.seq = a.seq + 1 JOIN e c ON c.seq = a.seq + 2),
 kg AS (SELECT kmer, seq, seq - lag(seq) OVER (PARTITION BY kmer ORDER BY seq) AS gap FROM k3),
@@ -195,5 +204,7 @@ ORACLES: dict[str, str] = {
     ),
     "compare_totals": _with(_GREEDY, "SELECT pair_id, count(base_pos) AS base_kernels, count(new_pos) AS new_kernels, round(sum(base_avg), 3) AS base_time, round(sum(new_avg), 3) AS new_time FROM mo GROUP BY pair_id", True),
     "top_matches": _with(_GREEDY, 'SELECT * FROM (SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY new_avg DESC, ord) AS INT) AS "rank", new, round(new_avg, 3) AS new_avg FROM mo WHERE new_avg > 0) WHERE "rank" <= 10', True),
+    "lcs_rotation": _with([*_REPS, OUTER, COMPARED, ROTATIONS], "SELECT pair_id, r AS rotation, lcs FROM le WHERE rn = 1", True),
+    "numbered_pairs": _with([*_REPS, OUTER, COMPARED], "SELECT pair_id, side, count(*) AS kernels, round(sum(avg_dur), 3) AS dur FROM kk WHERE pair_id = 2 GROUP BY pair_id, side"),
     "cycle_similarity": _with([*_REPS, OUTER, COMPARED], "SELECT l, r, round(sim, 4) AS sim FROM ks"),
 }

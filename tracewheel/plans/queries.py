@@ -229,6 +229,24 @@ def align_compare(spark, sf):
     return compare.compare(compared_kernels(spark, sf), "align").select(*MATCH)
 
 
+def lcs_rotation(spark, sf):
+    return compare.lcs_rotation(compared_kernels(spark, sf).withColumn("sig", signature(F.col("name"))))
+
+
+def numbered_pairs(spark, sf):
+    """Cycles of two runs paired by number: each pair's kernels and time."""
+    k = compared_kernels(spark, sf).withColumnRenamed("pair_id", "cycle_no")
+    pairs = compare.numbered_pairs(k.where("side = 'baseline'").drop("side"), k.where("side = 'new' and cycle_no > 1").drop("side"))
+    return plain(pairs.groupBy("pair_id", "side").agg(F.count("*").alias("kernels"), F.sum("avg_dur").alias("dur")))
+
+
+def trace_comparison(spark, sf):
+    """The trace's standard cycle against that of the trace without its first events."""
+    e = two_phase_trace(spark, sf)
+    later = e.where("seq >= 50").withColumn("seq", F.col("seq") - 50)
+    return plain(compare.compare_traces(e, staged(later, "later")).select("ord", "baseline", "new", "match_type", "base_avg", "new_avg"))
+
+
 def match_compare(spark, sf):
     return compare.compare(compared_kernels(spark, sf), "match").select(*MATCH)
 
@@ -272,6 +290,6 @@ QUERIES: dict[str, Query] = {
         cycle_patterns, derived_trace, kernel_counts, anchor_candidates, anchor_gaps, consistent_anchors, verified_cycles, outer_cycle, cycle_stats, cycle_stats_sample,
         cycle_header, top_kernels, category_distribution, kernel_signature, kernel_category, normalized_name, name_hash, sub_cycles, pattern_signature,
         pattern_similarity, phase_classification, phase_ends, pattern_stats, no_patterns, kmer_anchors, kmer_cycles, simple_cycles, bruteforce_cycle, first_repeat,
-        quick_probe, quick_verify, standard_cycle, align_compare, match_compare, match_type_counts, change_heatmap, compare_totals, top_matches, cycle_similarity, smart_pairs,
+        quick_probe, quick_verify, standard_cycle, align_compare, lcs_rotation, numbered_pairs, trace_comparison, match_compare, match_type_counts, change_heatmap, compare_totals, top_matches, cycle_similarity, smart_pairs,
     )
 }
