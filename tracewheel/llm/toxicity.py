@@ -162,7 +162,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.nd
     return post
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 12) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 12) -> np.ndarray:
     """Weights and, last, the bias of a logistic regression on soft labels, by Newton's method."""
     x = np.hstack([x.astype(float), np.ones((len(x), 1))])
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -174,13 +174,31 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 1
     return w
 
 
+def needed(x: np.ndarray, y: np.ndarray, mined: int, least: int = 3) -> list[int]:
+    """The mined features, in order, that mark at least ``least`` toxic rows that none before marks.
+
+    What stands only in copies of texts that are marked already says nothing of its own.
+    """
+    covered, out = np.zeros(len(y), bool), []
+    for k in range(mined):
+        marks = (x[:, k] > 0) & (y == 1)
+        if (marks & ~covered).sum() >= least:
+            out.append(k)
+            covered |= marks
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """The lexicon and the classifier's weights. Without labels of both classes, any seed word decides."""
     sample = stage(training_sample(docs, labels, rows), "sample")
-    features = mined_features(sample)
-    whole = {f[2:] for f in features if f[0] == "w"} | {s for s in SEEDS for f in features if f[0] == "p" and s.startswith(f[2:])}
-    features += [f"w:{s}" for s in SEEDS if s not in whole]
+    # What begins a seed word, or what one begins, is the seed's to say.
+    mined = [f for f in mined_features(sample) if not any(s.startswith(f[2:]) or f[2:].startswith(s) for s in SEEDS)]
+    features = mined + [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
     x, y = vote_matrix(sample, features)
+    kept = [*needed(x, y, len(mined)), *range(len(mined), len(features))]
+    features, x = [features[k] for k in kept], x[:, [*kept, *range(len(features), x.shape[1])]]
+    # The feature for any hit must speak of the lexicon that is left.
+    x[:, len(features)] = (x[:, : len(features)] > 0).any(axis=1)
     if len(set(y.tolist())) < 2:
         w = np.zeros(len(features) + 3 + len(PATTERNS))
         w[len(features)], w[-1] = 6.0, -4.0
