@@ -29,6 +29,8 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 THRESHOLD = 0.7
 #: Correlations below this are taken for chance.
 CORRELATED = 0.3
+#: How often a training label is taken to be right.
+LABEL_ACCURACY = 0.95
 
 #: Words that insult in themselves.
 SEEDS = "idiot moron scum trash clown worthless pathetic disgusting stupid loser imbecile dumbass bastard asshole bitch retard scumbag dimwit fool vermin".split()
@@ -158,6 +160,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.nd
         share = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
         on, off = np.log(chance[1] / chance[0]), np.log((1 - chance[1]) / (1 - chance[0]))
         odds = np.log(prior / (1 - prior)) + votes @ (share * on) + (1 - votes) @ (share * off)
+        odds += (2 * labels - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return post
 
@@ -203,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[li
         w = np.zeros(len(features) + 3 + len(PATTERNS))
         w[len(features)], w[-1] = 6.0, -4.0
         return features, w
-    votes = (x > 0)[:, [k for k in range(x.shape[1]) if k != len(features) + 1]].astype(float)
+    voters = [*range(len(features)), *range(len(features) + 2, x.shape[1])]  # without the sums over the lexicon
+    votes = (x > 0)[:, voters].astype(float)
     return features, fit_linear(x, label_model(votes, y))
 
 
