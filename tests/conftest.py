@@ -41,8 +41,16 @@ def duck():
 
 
 def same_rows(spark_df, sql_df) -> None:
+    """The same columns and, in any order, the same rows."""
+    import numbers
+
+    import pandas as pd
+
+    def shown(v):
+        return None if pd.isna(v) else float(v) if isinstance(v, numbers.Number) else str(v)
+
     a, b = spark_df.toPandas(), sql_df
     cols = sorted(b.columns)
     assert sorted(a.columns) == cols
-    shown = [sorted(repr(tuple(None if v != v else v for v in r)) for r in x[cols].astype(object).itertuples(index=False, name=None)) for x in (a, b)]
-    assert shown[0] == shown[1]
+    got, want = (sorted(repr([shown(v) for v in r]) for r in x[cols].astype(object).itertuples(index=False, name=None)) for x in (a, b))
+    assert got == want
