@@ -22,6 +22,7 @@ REACH = SPAN - K
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: At most so many benchmark fingerprints (about 200 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+PRINTS = "array<struct<h:bigint,p:int,before:array<bigint>,after:array<bigint>>>"
 
 
 def item_words(text: Column) -> Column:
@@ -83,14 +84,14 @@ def hit_ranges(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFr
     Every row of ``docs`` appears at least once with a null range, so texts are read once.
     """
     items = stage(item_rows(benchmark), "items")
-    long_items = with_fingerprints(items.where(F.col("_n") >= SPAN)).select("item", F.explode("_prints").alias("x"))
+    long_items = with_fingerprints(items.where(F.col("_n") >= SPAN)).select("item", F.explode(F.coalesce("_prints", F.array().cast(PRINTS))).alias("x"))
     prints = stage(long_items.select(F.col("x.h").alias("bh"), "item", F.col("x.before").alias("item_before"), F.col("x.after").alias("item_after")).distinct(), "item-prints")
     shorts = {r[0] for r in items.where(F.col("_n") < SPAN).select("_n").distinct().collect()}  # at most SPAN - 1 lengths
     hashed = word_hashes(docs, "_text", keep)
     marked = with_fingerprints(hashed)
     # One more element a text, which joins with nothing, keeps texts without a hit; it hashes the text, so none gather.
     none = F.struct(F.xxhash64(F.lit("no k-gram"), *keep).alias("h"), F.lit(-1).alias("p"), F.array().cast("array<bigint>").alias("before"), F.array().cast("array<bigint>").alias("after"))
-    rows = marked.select(*keep, "_n", F.explode(F.concat(F.array(none), F.coalesce("_prints", F.array().cast("array<struct<h:bigint,p:int,before:array<bigint>,after:array<bigint>>>")))).alias("x"))
+    rows = marked.select(*keep, "_n", F.explode(F.concat(F.array(none), F.coalesce("_prints", F.array().cast(PRINTS)))).alias("x"))
     rows = rows.select(*keep, "_n", "x.*")
     met = joined(rows, prints, F.col("h") == F.col("bh"), prints.count(), "left")
     met = met.where((F.col("p") < 0) | F.col("item").isNotNull())
