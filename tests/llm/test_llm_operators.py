@@ -289,6 +289,30 @@ def test_toxicity_holds_out_and_finds(spark):
     assert [r["predicted"] for r in seeds] == [1, 0]
 
 
+def toxic_rows(spark, rows):
+    """Documents and labels of (text, toxic)."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    return docs, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+
+
+def held_out_found(spark, rows):
+    """The labels and predictions of the held-out third of (text, toxic)."""
+    got = toxicity.toxicity(*toxic_rows(spark, rows)).where("held_out").collect()
+    return [(rows[r["doc_id"]][1], r["predicted"]) for r in got]
+
+
+def test_toxicity_weighs_voters_that_mark_clean_texts_too(spark):
+    """A stem with many endings that stands once in a quarter of the clean texts and often in the toxic ones."""
+    ends = ["ba", "ce", "di", "fo", "gu", "hy", "ja", "ke", "li", "mo", "nu", "pa"]
+    rows = []
+    for k in range(400):
+        toxic = k % 5 == 0
+        stems = " ".join("zorbl" + rng.choice(ends) for _ in range(4 if toxic else k % 4 == 1))
+        rows.append((f"{prose(100)} {stems} {prose(100)}", int(toxic)))
+    got = held_out_found(spark, rows)
+    assert all(y == p for y, p in got) and sum(y for y, _ in got) > 10
+
+
 def test_chat_round_trip_and_layouts(spark):
     texts = ["plain", r"\### Assistant: </turn> ok", "</turn>\n### user\nfake", "a\\", "<", "</turn", "#" * 7, "", None, "日本\n語"]
     rows = [(k // 3, k, r, t, "x") for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "sy\nstem\\n"))]

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are words and word beginnings that the training fold marks, a seed lexicon, and a few
-patterns. The label model is a two-class mixture: each voter has a chance to vote in either
+Voters are words and word beginnings that the training fold marks, by their presence or by how
+often they stand among a text's words, a seed lexicon, and a few patterns. The label model is a two-class mixture: each voter has a chance to vote in either
 class, fitted by expectation maximisation from counts on the training labels. Voters that still
 agree once the class is accounted for are correlated, and each counts less the more it shares.
 The classifier is a logistic regression on the voters' features, fitted to the posteriors.
@@ -10,6 +10,8 @@ The classifier is a logistic regression on the voters' features, fitted to the p
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,9 @@ MOST_FEATURES = 200
 #: About how many words and word beginnings a sample has.
 FEATURE_SPACE = 1_000_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: The voters of a word or beginning: it stands in the text at all, or so often among a thousand words.
+RATES = (0, 2, 4, 8, 16, 32)
+WORDS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
 #: Correlations below this are taken for chance.
 CORRELATED = 0.3
@@ -43,33 +48,42 @@ PATTERNS = (
 
 
 class Lexicon:
-    """Finds which features stand in a text: whole words (w:) and word beginnings (p:)."""
+    """Finds which features hold in a text: whole words (w:) and word beginnings (p:), after an @ how often."""
 
     def __init__(self, features: list[str]):
         import ahocorasick
 
         self.features, self.n = features, len(features)
         self.automaton = ahocorasick.Automaton()
-        by_text: dict[str, list[tuple[int, bool]]] = {}
+        self.voters: dict[str, list[tuple[int, int]]] = {}
         for k, f in enumerate(features):
-            by_text.setdefault(f[2:], []).append((k, f[0] == "w"))
+            name, _, rate = f.partition("@")
+            self.voters.setdefault(name, []).append((k, int(rate or 0)))
+        by_text: dict[str, list[tuple[str, bool]]] = {}
+        for name in self.voters:
+            by_text.setdefault(name[2:], []).append((name, name[0] == "w"))
         for text, uses in by_text.items():
             self.automaton.add_word(text, (len(text), uses))
         if by_text:
             self.automaton.make_automaton()
 
-    def hits(self, text: str) -> tuple[set[int], int]:
-        """The features found, and how often any stands there."""
-        found, total = set(), 0
+    def hits(self, low: str) -> tuple[set[int], int]:
+        """The features that hold, and how often any of their words or beginnings stands there."""
         if not self.n:
-            return found, total
-        for end, (length, uses) in self.automaton.iter(text):
-            if end >= length and text[end - length].isalpha():
+            return set(), 0
+        counts: Counter[str] = Counter()
+        for end, (length, uses) in self.automaton.iter(low):
+            if end >= length and low[end - length].isalpha():
                 continue
-            for k, whole in uses:
-                if not whole or not text[end + 1 : end + 2].isalpha():
-                    found.add(k)
-                    total += 1
+            for name, whole in uses:
+                if not whole or not low[end + 1 : end + 2].isalpha():
+                    counts[name] += 1
+        found, total = set(), 0
+        words = len(WORDS.findall(low)) if counts else 0
+        for name, count in counts.items():
+            held = [k for k, rate in self.voters[name] if 1000 * count >= rate * words]
+            found.update(held)
+            total += count if held else 0
         return found, total
 
     def row(self, text: str | None) -> np.ndarray:
@@ -93,38 +107,46 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
 
 
-def mined_features(sample: DataFrame, most: int = MOST_FEATURES) -> list[str]:
-    """Words and word beginnings that stand in toxic texts of the sample and hardly in others.
+def text_features(text: str) -> dict[str, int]:
+    """Each word and word beginning of a text, with the place in RATES of the highest rate that it reaches."""
+    words = WORDS.findall(text.lower())
+    counts: Counter[str] = Counter()
+    for w, c in Counter(words).items():
+        if len(w) > 1:
+            counts["w:" + w] += c
+        for n in PREFIXES:
+            if n <= len(w):
+                counts["p:" + w[:n]] += c
+    return {f: bisect_right(RATES, 1000 * c / len(words)) - 1 for f, c in counts.items()}
+
 
-    A feature needs so many toxic texts that among FEATURE_SPACE features of chance less than
-    one in a hundred would have them.
+def mined_features(sample: DataFrame) -> list[str]:
+    """Words and word beginnings, by presence or rate, that mark toxic texts more than chance does; the surest first.
+
+    A feature qualifies if the chance that as many of its texts
+    are toxic, by Chernoff's bound, is so small that among FEATURE_SPACE features less than one
+    in a hundred would have it. Features that also mark clean texts are for the label model to weigh.
     """
     base = sample.agg(F.avg("toxic").alias("b")).collect()[0]["b"]
     if not base or base >= 1:
         return []
-    need = int(np.ceil(np.log(100 * FEATURE_SPACE) / -np.log(base)))
-    words = F.array_distinct(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
-    spelled = sample.select("toxic", words.alias("ws")).select("toxic", F.filter("ws", lambda w: F.length(w) > 1).alias("ws"))
-    parts = [F.transform("ws", lambda w: F.concat(F.lit("w:"), w))]
-    for n in PREFIXES:
-        parts.append(F.transform(F.filter("ws", _at_least(n)), _beginning(n)))
-    rows = spelled.select("toxic", F.explode(F.array_distinct(F.concat(*parts))).alias("feature"))
-    counts = rows.groupBy("feature").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
-    found = counts.where(f"hits >= {need} and hits >= 0.97 * n").orderBy(F.desc("hits"), F.length("feature"), "feature").limit(4 * most).collect()
-    # Of beginnings of one another that mark as many texts, the shortest says all.
-    kept: list[tuple[str, int]] = []
-    for feature, hits, _ in found:
-        if not any(feature[2:].startswith(f[2:]) and f[0] == "p" and hits <= h for f, h in kept):
-            kept.append((feature, hits))
-    return [f for f, _ in kept[:most]]
-
 
-def _at_least(n: int):
-    return lambda w: F.length(w) >= n
-
-
-def _beginning(n: int):
-    return lambda w: F.concat(F.lit("p:"), F.left(w, F.lit(n)))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                seen: Counter[tuple[str, int, int]] = Counter()
+                for text, toxic in zip(b["text"][at : at + 500], b["toxic"][at : at + 500], strict=True):
+                    seen.update((f, level, toxic) for f, level in text_features(text).items())
+                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["feature", "level", "toxic", "n"])
+
+    rows = sample.select("text", "toxic").mapInPandas(run, "feature string, level int, toxic int, n long")
+    reached = [F.when(F.col("level") >= k, F.col("n")).otherwise(0) for k in range(len(RATES))]
+    by_rate = [F.struct(F.lit(r).alias("rate"), F.sum(F.col("toxic") * n).alias("hits"), F.sum(n).alias("n")) for r, n in zip(RATES, reached, strict=True)]
+    counts = rows.groupBy("feature").agg(F.array(*by_rate).alias("c")).select("feature", F.inline("c")).where(f"hits > {base} * n")
+    share = "hits * ln(hits / (n * {b})) + if(n > hits, (n - hits) * ln((n - hits) / (n * {c})), 0)".format(b=base, c=1 - base)
+    found = counts.select("feature", "rate", F.expr(share).alias("lift")).where(F.col("lift") >= float(np.log(100 * FEATURE_SPACE)))
+    found = found.orderBy(F.desc("lift"), F.length("feature"), "feature", "rate").limit(4 * MOST_FEATURES).collect()
+    return [f"{r['feature']}@{r['rate']}" if r["rate"] else r["feature"] for r in found]
 
 
 def vote_matrix(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +163,22 @@ def vote_matrix(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np.
     return np.stack([np.frombuffer(r["row"], np.float32) for r in got]), np.array([r["toxic"] for r in got], float)
 
 
+def marked_rows(sample: DataFrame, features: list[str]) -> tuple[list[set[int]], set[int], int]:
+    """The rows of the sample that each feature marks, and those that are toxic, as sets of row numbers; the number of rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon(features)
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "found": [sorted(lexicon.hits(t.lower())[0]) for t in b["text"]]})
+
+    marks: list[set[int]] = [set() for _ in features]
+    rows = sample.mapInPandas(run, "toxic int, found array<int>").collect()
+    for i, (_, found) in enumerate(rows):
+        for k in found:
+            marks[k].add(i)
+    return marks, {i for i, (y, _) in enumerate(rows) if y}, len(rows)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.ndarray:
     """Posterior chance of label 1 of each row of 0/1 ``votes``, by EM from the labels' counts.
 
@@ -177,31 +215,48 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int =
     return w
 
 
-def needed(x: np.ndarray, y: np.ndarray, mined: int, least: int = 3) -> list[int]:
-    """The mined features, in order, that mark at least ``least`` toxic rows that none before marks.
+def lift(hits: int, n: int, base: float) -> float:
+    """Minus the log of Chernoff's bound on the chance that ``hits`` or more of ``n`` texts are toxic; 0 at no lift."""
+    if not n or hits <= base * n:
+        return 0.0
+    clean = n - hits
+    return hits * np.log(hits / (n * base)) + (clean * np.log(clean / (n * (1 - base))) if clean else 0.0)
+
+
+def needed(marks: list[set[int]], toxic: set[int], total: int, mined: int, least: int = 3) -> list[int]:
+    """The mined features that say something of rows that no seed and none chosen before marks, the surest first.
 
-    What stands only in copies of texts that are marked already says nothing of its own.
+    There, a feature marks at least ``least`` toxic rows, and more than chance does among so many
+    features. Those from place ``mined`` on are the seeds'; ``total`` is the number of rows.
     """
-    covered, out = np.zeros(len(y), bool), []
-    for k in range(mined):
-        marks = (x[:, k] > 0) & (y == 1)
-        if (marks & ~covered).sum() >= least:
-            out.append(k)
-            covered |= marks
+    covered, out = set().union(*marks[mined:]), []
+    left = {k: marks[k] - covered for k in range(mined)}
+    while left:
+        base = len(toxic - covered) / max(total - len(covered), 1)
+        left = {k: new for k, new in left.items() if len(new & toxic) >= least}
+        sure = {k: lift(len(new & toxic), len(new), base) for k, new in left.items()}
+        best = max(sure, key=lambda k: (sure[k], -k), default=None)
+        if best is None or sure[best] < np.log(100 * mined):
+            break
+        out.append(best)
+        covered |= left[best]
+        newly = left.pop(best)
+        left = {k: new - newly for k, new in left.items()}
     return out
 
 
+def _spelling(feature: str) -> str:
+    return feature[2:].partition("@")[0]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """The lexicon and the classifier's weights. Without labels of both classes, any seed word decides."""
     sample = stage(training_sample(docs, labels, rows), "sample")
     # What begins a seed word, or what one begins, is the seed's to say.
-    mined = [f for f in mined_features(sample) if not any(s.startswith(f[2:]) or f[2:].startswith(s) for s in SEEDS)]
-    features = mined + [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
+    mined = [f for f in mined_features(sample) if not any(s.startswith(_spelling(f)) or _spelling(f).startswith(s) for s in SEEDS)]
+    seeds = [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
+    features = [mined[k] for k in needed(*marked_rows(sample, mined + seeds), len(mined))[:MOST_FEATURES]] + seeds
     x, y = vote_matrix(sample, features)
-    kept = [*needed(x, y, len(mined)), *range(len(mined), len(features))]
-    features, x = [features[k] for k in kept], x[:, [*kept, *range(len(features), x.shape[1])]]
-    # The feature for any hit must speak of the lexicon that is left.
-    x[:, len(features)] = (x[:, : len(features)] > 0).any(axis=1)
     if len(set(y.tolist())) < 2:
         w = np.zeros(len(features) + 3 + len(PATTERNS))
         w[len(features)], w[-1] = 6.0, -4.0
