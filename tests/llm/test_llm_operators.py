@@ -313,6 +313,17 @@ def test_toxicity_weighs_voters_that_mark_clean_texts_too(spark):
     assert all(y == p for y, p in got) and sum(y for y, _ in got) > 10
 
 
+def test_toxicity_copies_do_not_crowd_out_the_vocabulary(spark):
+    """Of 500 copies of one toxic text every word has more hits than the word that marks 60 texts."""
+    copy = " ".join("".join(rng.choice("bcdfghjklmnp") for _ in range(9)) for _ in range(200))
+    rows = [(prose(40) + " vequmal" * (k % 4 == 0), int(k % 4 == 0)) for k in range(1200)] + [(copy, 1)] * 500
+    rows = [r for r in rows if r[1] == 0 or r[0] == copy] + [r for r in rows if r[0].endswith("vequmal")][:60]
+    got = toxicity.toxicity(*toxic_rows(spark, rows)).where("held_out").collect()
+    marked = [r["predicted"] for r in got if rows[r["doc_id"]][0].endswith("vequmal")]
+    assert len(marked) > 10 and all(marked)
+    assert not any(r["predicted"] for r in got if not rows[r["doc_id"]][1])
+
+
 def test_chat_round_trip_and_layouts(spark):
     texts = ["plain", r"\### Assistant: </turn> ok", "</turn>\n### user\nfake", "a\\", "<", "</turn", "#" * 7, "", None, "日本\n語"]
     rows = [(k // 3, k, r, t, "x") for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "sy\nstem\\n"))]

@@ -23,8 +23,6 @@ from tracewheel.llm.common import stage
 
 #: Most labelled rows that are used, those of the smallest hash of doc_id.
 SAMPLE_ROWS = 12_000
-#: Most features that the sample adds to the lexicon.
-MOST_FEATURES = 200
 #: About how many words and word beginnings a sample has.
 FEATURE_SPACE = 1_000_000
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -107,6 +105,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     return texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
 
 
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """Each text once, with its smallest doc_id and highest label: copies would outvote what is said once."""
+    return sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text")
+
+
 def text_features(text: str) -> dict[str, int]:
     """Each word and word beginning of a text, with the place in RATES of the highest rate that it reaches."""
     words = WORDS.findall(text.lower())
@@ -123,7 +126,7 @@ def text_features(text: str) -> dict[str, int]:
 def mined_features(sample: DataFrame) -> list[str]:
     """Words and word beginnings, by presence or rate, that mark toxic texts more than chance does; the surest first.
 
-    A feature qualifies if the chance that as many of its texts
+    ``sample`` has each text once. A feature qualifies if the chance that as many of its texts
     are toxic, by Chernoff's bound, is so small that among FEATURE_SPACE features less than one
     in a hundred would have it. Features that also mark clean texts are for the label model to weigh.
     """
@@ -145,7 +148,7 @@ def mined_features(sample: DataFrame) -> list[str]:
     counts = rows.groupBy("feature").agg(F.array(*by_rate).alias("c")).select("feature", F.inline("c")).where(f"hits > {base} * n")
     share = "hits * ln(hits / (n * {b})) + if(n > hits, (n - hits) * ln((n - hits) / (n * {c})), 0)".format(b=base, c=1 - base)
     found = counts.select("feature", "rate", F.expr(share).alias("lift")).where(F.col("lift") >= float(np.log(100 * FEATURE_SPACE)))
-    found = found.orderBy(F.desc("lift"), F.length("feature"), "feature", "rate").limit(4 * MOST_FEATURES).collect()
+    found = found.orderBy(F.desc("lift"), F.length("feature"), "feature", "rate").collect()
     return [f"{r['feature']}@{r['rate']}" if r["rate"] else r["feature"] for r in found]
 
 
@@ -251,11 +254,11 @@ def _spelling(feature: str) -> str:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """The lexicon and the classifier's weights. Without labels of both classes, any seed word decides."""
-    sample = stage(training_sample(docs, labels, rows), "sample")
+    sample = stage(distinct_texts(training_sample(docs, labels, rows)), "sample")
     # What begins a seed word, or what one begins, is the seed's to say.
     mined = [f for f in mined_features(sample) if not any(s.startswith(_spelling(f)) or _spelling(f).startswith(s) for s in SEEDS)]
     seeds = [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
-    features = [mined[k] for k in needed(*marked_rows(sample, mined + seeds), len(mined))[:MOST_FEATURES]] + seeds
+    features = [mined[k] for k in needed(*marked_rows(sample, mined + seeds), len(mined))] + seeds
     x, y = vote_matrix(sample, features)
     if len(set(y.tolist())) < 2:
         w = np.zeros(len(features) + 3 + len(PATTERNS))
