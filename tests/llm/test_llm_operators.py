@@ -324,6 +324,14 @@ def test_toxicity_copies_do_not_crowd_out_the_vocabulary(spark):
     assert not any(r["predicted"] for r in got if not rows[r["doc_id"]][1])
 
 
+def test_toxicity_mines_words_that_begin_like_a_seed(spark):
+    """'traitor' begins as 'trash' does, 'foolish' with the whole word 'fool': no seed voter matches either."""
+    said = ["trash", "trash", "traitor", "foolish"]
+    rows = [(prose(30) + (" " + said[k // 4 % 4] if k % 4 == 0 else "") + " " + prose(10), int(k % 4 == 0)) for k in range(960)]
+    got = held_out_found(spark, rows)
+    assert all(y == p for y, p in got) and sum(y for y, _ in got) > 40
+
+
 def test_chat_round_trip_and_layouts(spark):
     texts = ["plain", r"\### Assistant: </turn> ok", "</turn>\n### user\nfake", "a\\", "<", "</turn", "#" * 7, "", None, "日本\n語"]
     rows = [(k // 3, k, r, t, "x") for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "sy\nstem\\n"))]

@@ -248,16 +248,10 @@ def needed(marks: list[set[int]], toxic: set[int], total: int, mined: int, least
     return out
 
 
-def _spelling(feature: str) -> str:
-    return feature[2:].partition("@")[0]
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """The lexicon and the classifier's weights. Without labels of both classes, any seed word decides."""
     sample = stage(distinct_texts(training_sample(docs, labels, rows)), "sample")
-    # What begins a seed word, or what one begins, is the seed's to say.
-    mined = [f for f in mined_features(sample) if not any(s.startswith(_spelling(f)) or _spelling(f).startswith(s) for s in SEEDS)]
-    seeds = [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
+    mined, seeds = mined_features(sample), [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
     features = [mined[k] for k in needed(*marked_rows(sample, mined + seeds), len(mined))] + seeds
     x, y = vote_matrix(sample, features)
     if len(set(y.tolist())) < 2:
