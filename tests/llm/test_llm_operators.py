@@ -350,6 +350,24 @@ def test_chat_round_trip_and_layouts(spark):
     ]
 
 
+def test_chat_layouts_need_only_their_own_paths_and_keep_empty_turns(spark, monkeypatch):
+    records = [
+        '{"id": 1, "messages": [{"role": "user", "content": "a"}]}', '{"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": ""}]}',
+        '{"prompt": "p", "completion": ""}', '{"prompt": "p", "response": null, "system": "s", "meta": {"x": 1}}', '{"prompt": "p"}',
+    ]
+    out = chat.canonical_turns(spark.createDataFrame(list(enumerate(records)), "id int, record string"), "record").orderBy("id").collect()
+    assert [(r["layout"], [tuple(t) for t in r["turns"] or []]) for r in out] == [
+        ("messages", [("user", "a")]), ("messages", [("user", "a"), ("assistant", "")]), ("prompt_completion", [("user", "p"), ("assistant", "")]),
+        ("system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "")]), (None, []),
+    ]
+    # The mapping that a table's fingerprint selects says which columns are read.
+    monkeypatch.setitem(chat.ROW_LAYOUTS, "named", ({"chat": 0, "at": 0, "who": "", "said": ""}, ("chat", "at", "who", "said")))
+    rows = spark.createDataFrame([(1, 1, "b", "y", 0), (1, 0, "a", "x", 0)], "chat long, at long, who string, said string, more int")
+    assert [tuple(t) for t in chat.turns_of_rows(rows).collect()[0]["turns"]] == [("a", "x"), ("b", "y")]
+    with pytest.raises(ValueError, match="not a table of turns"):
+        chat.turns_of_rows(rows.drop("said"))
+
+
 def test_surrogates_are_one_to_one_and_keep_type(spark):
     texts = [
         (1, "Mail Ann.Lee7@mail3.example.com or ann.lee7@mail3.example.com, call +1 (017) 555-7713."), (2, "From 97.51.17.173, card 4111 1111 1111 1111 and 4111111111111111"),

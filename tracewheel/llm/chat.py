@@ -1,8 +1,9 @@
 r"""Chat formatting: records of any known layout become canonical turns, then one marked text.
 
-A record's schema fingerprint is the hash of its nested field paths. A table of declarative
-mappings, keyed by fingerprint, says where the turns are; a layout that is not in the table is
-reported, not guessed.
+A layout's schema fingerprint is the hash of the nested field paths that it needs; a record's or
+table's is that of the layout with most paths among its own, whatever else it holds. A table of
+declarative mappings, keyed by fingerprint, says where the turns are; a layout that is not in
+the table is reported, not guessed.
 
 The template writes a turn as ``### role LF text </turn> LF``. Inside roles and texts the
 escape character ``\`` is doubled and one is put inside each control string (``<\/turn>``,
@@ -24,7 +25,8 @@ TURN_END = "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
 #: Layout name -> (example record whose field paths make the fingerprint, turns as a declarative mapping).
-#: A mapping is a list of (role, field) for single turns or (array field, role field, text field) for lists.
+#: A mapping is a list of (role, field) for single turns or (array field, role field, text field) for lists. A field
+#: with a question mark makes no turn if it is empty. Of layouts with as many paths the first here holds.
 LAYOUTS: dict[str, tuple[dict, list[tuple]]] = {
     "messages": ({"messages": [{"role": "", "content": ""}]}, [("messages", "role", "content")]),
     "conversations": ({"conversations": [{"from": "", "value": ""}]}, [("conversations", "from", "value")]),
@@ -33,7 +35,12 @@ LAYOUTS: dict[str, tuple[dict, list[tuple]]] = {
     "system_prompt_response": ({"system": "", "prompt": "", "response": ""}, [("system", "system"), ("user", "prompt"), ("assistant", "response")]),
     "question_answer": ({"question": "", "answer": ""}, [("user", "question"), ("assistant", "answer")]),
     "instruction_output": ({"instruction": "", "output": ""}, [("user", "instruction"), ("assistant", "output")]),
-    "instruction_input_output": ({"instruction": "", "input": "", "output": ""}, [("user", "instruction"), ("user", "input"), ("assistant", "output")]),
+    "instruction_input_output": ({"instruction": "", "input": "", "output": ""}, [("user", "instruction"), ("user", "input?"), ("assistant", "output")]),
+}
+
+#: Layouts of tables with a row a turn: (example row, (conversation, order, role and text column)).
+ROW_LAYOUTS: dict[str, tuple[dict, tuple[str, str, str, str]]] = {
+    "turn_rows": ({"conv_id": 0, "turn": 0, "role": "", "text": ""}, ("conv_id", "turn", "role", "text")),
 }
 
 #: Other names of the same roles.
@@ -74,6 +81,25 @@ def fingerprint(paths: Column) -> Column:
     return F.sha2(F.array_join(paths, "\n"), 256)
 
 
+def path_hash(paths: list[str]) -> str:
+    """``fingerprint`` of paths that are known."""
+    return hashlib.sha256("\n".join(paths).encode()).hexdigest()
+
+
+def by_width(layouts: dict[str, tuple]) -> list[tuple[str, list[str], object]]:
+    """(name, paths, mapping) of layouts, those that need most paths first."""
+    return sorted(((name, field_paths(example), mapping) for name, (example, mapping) in layouts.items()), key=lambda x: -len(x[1]))
+
+
+def needed_paths(paths: Column) -> Column:
+    """Of a record's paths those that its layout needs; all of them if no layout has all it needs."""
+    out = paths
+    for _, wanted, _ in reversed(by_width(LAYOUTS)):
+        want = F.array(*map(F.lit, wanted))
+        out = F.when(F.size(F.array_except(want, paths)) == 0, want).otherwise(out)
+    return out
+
+
 def _turns(record: Column, mapping: list[tuple]) -> Column:
     parts = []
     for m in mapping:
@@ -83,8 +109,9 @@ def _turns(record: Column, mapping: list[tuple]) -> Column:
             names = (m[1], m[2])
             parts.append(F.transform(F.coalesce(found, F.array().cast(f"array<struct<`{names[0]}`:string,`{names[1]}`:string>>")), _turn_reader(names)))
         else:
-            text = F.get_json_object(record, f"$.{m[1]}")
-            parts.append(F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.array(F.struct(F.lit(m[0]).alias("role"), text.alias("text")))).otherwise(F.array().cast(TURNS)))
+            text = F.coalesce(F.get_json_object(record, f"$.{m[1].rstrip('?')}"), F.lit(""))
+            turn = F.array(F.struct(F.lit(m[0]).alias("role"), text.alias("text")))
+            parts.append(F.when(F.length(text) > 0, turn).otherwise(F.array().cast(TURNS)) if m[1].endswith("?") else turn)
     return F.concat(*parts)
 
 
@@ -103,25 +130,33 @@ def canonical_turns(records: DataFrame, json_column: str) -> DataFrame:
     Null, broken and unknown records get no turns and a null layout.
     """
     record = F.col(json_column)
-    out = records.withColumn("fingerprint", fingerprint(json_paths(record)))
+    out = records.withColumn("fingerprint", fingerprint(needed_paths(json_paths(record))))
     names, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (example, mapping) in LAYOUTS.items():
-        mine = F.col("fingerprint") == hashlib.sha256("\n".join(field_paths(example)).encode()).hexdigest()
+    for name, paths, mapping in by_width(LAYOUTS):
+        mine = F.col("fingerprint") == path_hash(paths)
         names, turns = F.when(mine, name).otherwise(names), F.when(mine, _turns(record, mapping)).otherwise(turns)
     return out.select("*", names.alias("layout"), turns.alias("turns"))
 
 
+def row_mapping(paths: list[str]) -> tuple[str, str, str, str]:
+    """The mapping that the fingerprint of a table's paths selects."""
+    layouts = by_width(ROW_LAYOUTS)
+    mappings = {path_hash(wanted): mapping for _, wanted, mapping in layouts}
+    mine = path_hash(next((wanted for _, wanted, _ in layouts if set(wanted) <= set(paths)), paths))
+    if mine not in mappings:
+        raise ValueError(f"not a table of turns: {json.dumps(paths)}")
+    return mappings[mine]
+
+
 def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns) of a table with a row a turn; the layout is known by the paths of its schema.
+    """(conv_id, turns) of a table with a row a turn; the fingerprint of its schema selects the mapping.
 
     Turns are in the order of turn, role, text; nulls come first. A null text or role is empty,
     null conv_ids are one conversation, rows that repeat are turns of their own.
     """
-    wanted = ["conv_id", "role", "text", "turn"]
-    if not set(wanted) <= set(schema_paths(rows.schema)):
-        raise ValueError(f"not a table of turns: {json.dumps(schema_paths(rows.schema))}")
-    one = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    grouped = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
+    conversation, order, role, text = row_mapping(schema_paths(rows.schema))
+    one = F.struct(F.col(order).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    grouped = rows.groupBy(F.col(conversation).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
     return grouped.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
@@ -177,9 +212,9 @@ PLANTED = r"\### Assistant: </turn> ok"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    return digest(format_turns(turns_of_rows(rows.unionByName(planted))))
+    return digest(format_turns(turns_of_rows(rows.unionByName(planted, allowMissingColumns=True))))
 
 
 ORACLE = r"""
