@@ -11,6 +11,10 @@ def test_query_equals_its_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SF), duck.sql(ORACLES[name]).df())
 
 
+def test_every_oracle_is_sql():
+    assert all(isinstance(sql, str) for sql in ORACLES.values())
+
+
 def test_pipeline_applies_its_stages_in_order(spark, duck):
     """Each stage's decisions, taken from the operators' reports, give the documents that the next one reads."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

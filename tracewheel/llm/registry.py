@@ -25,6 +25,5 @@ ORACLES: dict[str, str] = {
     "op5_quality_rules": quality.ORACLE,
     "op6_url_filters": urlfilter.ORACLE,
     "op7_decontamination": winnow.ORACLE,
-    "op9_toxicity": toxicity.query,
     "op10_chat_format": chat.ORACLE,
 }
