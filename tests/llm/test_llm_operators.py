@@ -412,3 +412,12 @@ def test_url_lists_hold_by_day(spark):
     assert len(rows) == len(urls) + 1
     assert got == {0: (None, None), 1: ("a", "domain"), 2: (None, None), 3: ("a", "domain"), 4: (None, None), 5: ("c", "url"), 6: ("b", "prefix"), 7: (None, None), 8: (None, None), 9: (None, None)}
     assert urlfilter.evaluate(c, e.limit(0)).where("blocked").count() == 0 and urlfilter.evaluate(c.limit(0), e).collect() == []
+
+
+def test_url_prefixes_of_any_depth_meet(spark):
+    urls = ["http://ok.com/x/y/z?q=/w", "http://ok.com/x/yy", "http://ok.com/x/y/", "http://ok.com//x/y", "http://ok.com/x?y=x/y"]
+    day = "2024-01-02"
+    captures = spark.createDataFrame([(k, u, day) for k, u in enumerate(urls)], "page_id long, url string, fetched string")
+    entries = spark.sql("select 'l' list, 'prefix' kind, k key, 'add' action, date'2024-01-01' at from values ('ok.com/x/y'), ('ok.com/x/y/z') t(k)")
+    got = urlfilter.evaluate(captures, entries).orderBy("page_id").collect()
+    assert [r["key"] for r in got] == ["ok.com/x/y/z", None, "ok.com/x/y", None, None]

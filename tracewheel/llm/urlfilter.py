@@ -26,13 +26,15 @@ def plain_url(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """(kind, key) of everything a list entry may name: the host, its domains, the first path part, the URL."""
+    """(kind, key) of everything a list entry may name: the host, its domains, its path to each depth, the URL."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".").alias("key")))
-    first = F.regexp_extract(plain_url(url), r"^([^/]+/[^/?]+)", 1)
-    narrow = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in (("host", host), ("prefix", first), ("url", plain_url(url)))])
-    return F.when(F.length(host) > 0, F.filter(F.concat(domains, narrow), lambda k: F.length(k["key"]) > 0)).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
+    parts = F.split(F.substring_index(plain_url(url), "?", 1), "/")
+    paths = F.transform(F.slice(parts, 2, F.size(parts)), lambda _, i: F.struct(F.lit("prefix").alias("kind"), F.array_join(F.slice(parts, 1, i + 2), "/").alias("key")))
+    paths = F.filter(paths, lambda k: ~F.endswith(k["key"], F.lit("/")))  # an empty part ends no prefix
+    narrow = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in (("host", host), ("url", plain_url(url)))])
+    return F.when(F.length(host) > 0, F.filter(F.concat(domains, paths, narrow), lambda k: F.length(k["key"]) > 0)).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
