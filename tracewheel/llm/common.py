@@ -2,41 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewheel.storage import fresh_path, staged
+
+__all__ = ["fresh_path"]
+
 #: ASCII white space: space and \t \n \v \f \r.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a new local one."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="tracewheel-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs at most the tasks that it ran.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return staged(df, name)
 
 
 def only(df: DataFrame, **kinds: str) -> DataFrame:
@@ -66,6 +49,37 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text, F.lit(7)))
 
 
+def chunks_for(rows: int, each: int = 200_000) -> int:
+    """Chunks of about ``each`` rows, 32 at least."""
+    return max(32, -(-rows // each))
+
+
+#: Tables of at most so many rows are put in order by one task.
+FEW_ROWS = 100_000
+
+
+def prefix_sums(df: DataFrame, rows: int, order: list[Column], **sums: Column) -> DataFrame:
+    """Adds, for each name, the sum of its column over all rows that come before in ``order``.
+
+    ``rows`` is a bound of the number of rows. Beyond FEW_ROWS rows are range-partitioned, sorted
+    and written; each partition sums its own and one row a partition is summed over all, so no
+    task meets all rows. ``order`` must tell rows apart.
+    """
+    if rows <= FEW_ROWS:
+        earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for name, c in sums.items()])
+    names = {f"_v{k}": c for k, c in enumerate(sums.values())}
+    ordered = df.withColumns(names).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftrightunsigned("_at", 33))
+    totals = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_t{v}") for v in names])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", *[F.sum(f"_t{v}").over(before).alias(f"_s{v}") for v in names])
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.select("*", *[F.sum(v).over(inside).alias(f"_i{v}") for v in names]).join(F.broadcast(starts), "_part")  # a row a partition
+    nothing = {v: F.lit(0).cast(placed.schema[v].dataType) for v in names}
+    return local.select(*df.columns, *[(F.coalesce(f"_s{v}", nothing[v]) + F.coalesce(f"_i{v}", nothing[v])).alias(name) for name, v in zip(sums, names, strict=True)])
+
+
 def running_position(df: DataFrame, group: list[str], order: list[Column], spread: Column, weight: Column, chunks: int, at: str) -> DataFrame:
     """Adds ``at``: the sum of ``weight`` over the rows of the same group that come before.
 

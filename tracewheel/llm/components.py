@@ -14,7 +14,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round hooks every root to its smallest neighbouring root, follows those pointers to
     their end, and replaces the edges' ends by their roots; edges inside a root vanish. A
     root's neighbours are only ever aggregated (min), never gathered, so a node with many
-    edges costs one partial aggregate a task. Rounds are logarithmic in the longest chain.
+    edges costs one partial aggregate a task. Every join is of two plain tables, one of them
+    with a row a root, so adaptive execution splits the rows of a root that holds very many.
+    Rounds are logarithmic in the longest chain.
     Null ends are dropped; an empty table gives an empty one.
     """
     live = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")

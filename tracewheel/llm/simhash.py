@@ -26,6 +26,8 @@ WORDS = 4
 SEED = 42
 #: What one probe row (made, shuffled, sorted) costs against one candidate compared.
 PROBE_COST = 12.0
+#: No part is probed with more values than this; two parts of 32 bits need 529 and 33, so a plan always exists.
+MOST_PROBES = 4096
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -111,19 +113,29 @@ def close_chance(p: np.ndarray, bits: list[int], most: int) -> list[float]:
     return np.cumsum(chance).tolist()
 
 
-def allocate(n: int, p: np.ndarray, parts: list[list[int]], tau: int) -> tuple[float, list[int]]:
-    """Thresholds t_i >= -1 with sum(t_i + 1) = tau + 1 of least estimated cost; -1 leaves a part out."""
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+def n_probes(width: int, threshold: int) -> int:
+    """How many values of a part of ``width`` bits lie within ``threshold`` bits of one."""
+    return sum(comb(width, s) for s in range(threshold + 1))
+
+
+def allocate(n: int, p: np.ndarray, parts: list[list[int]], tau: int) -> tuple[float, int, list[int]] | None:
+    """Estimated cost, probes and thresholds t_i >= -1 with sum(t_i + 1) = tau + 1 of least cost, then of fewest probes.
+
+    -1 leaves a part out. None if every choice probes some part with more than MOST_PROBES values.
+    """
+    best: dict[int, tuple[float, int, list[int]]] = {0: (0.0, 0, [])}
     for part in parts:
         chance = close_chance(p, part, min(tau, len(part)))
-        cost = [0.0] + [n * n / 2 * chance[t] + PROBE_COST * n * (1 + sum(comb(len(part), s) for s in range(t + 1))) for t in range(len(chance))]
-        step: dict[int, tuple[float, list[int]]] = {}
-        for used, (c, chosen) in best.items():
-            for t, more in enumerate(cost):
-                if used + t <= tau + 1 and (used + t not in step or c + more < step[used + t][0]):
-                    step[used + t] = (c + more, [*chosen, t - 1])
+        probes = [0] + [n_probes(len(part), t) for t in range(len(chance))]
+        cost = [0.0] + [n * n / 2 * c + PROBE_COST * n * (1 + k) for c, k in zip(chance, probes[1:], strict=True)]
+        step: dict[int, tuple[float, int, list[int]]] = {}
+        for used, (c, k, chosen) in best.items():
+            for t, (more, added) in enumerate(zip(cost, probes, strict=True)):
+                if added <= MOST_PROBES and used + t <= tau + 1:
+                    option = (c + more, k + added, [*chosen, t - 1])
+                    step[used + t] = min(step.get(used + t, option), option)
         best = step
-    return best[tau + 1]
+    return best.get(tau + 1)
 
 
 def plan_parts(n: int, together: np.ndarray, tau: int = TAU) -> list[tuple[list[int], int]]:
@@ -132,9 +144,9 @@ def plan_parts(n: int, together: np.ndarray, tau: int = TAU) -> list[tuple[list[
     options = []
     for m in range(1, tau + 2):
         parts = correlated_parts(n, together, m)
-        cost, thresholds = allocate(n, p, parts, tau)
-        options.append((cost, [(b, t) for b, t in zip(parts, thresholds, strict=True) if t >= 0]))
-    return min(options, key=lambda x: x[0])[1]
+        if found := allocate(n, p, parts, tau):
+            options.append((*found[:2], [(b, t) for b, t in zip(parts, found[2], strict=True) if t >= 0]))
+    return min(options)[2]
 
 
 def _signed(mask: int) -> int:
@@ -170,9 +182,12 @@ def link_components(prints: DataFrame, tau: int = TAU) -> DataFrame:
     most of a dense group in a number of rows linear in its size. Then only members of a bucket
     that are still in different components are compared: within a bucket, the largest component
     is set aside, the others are compared with all. No link between components is lost, and a
-    group of thousands of near copies makes no pairs within itself.
+    group of thousands of near copies makes no pairs within itself. Without a fingerprint there
+    is no plan and no link.
     """
     n, together = bit_statistics(prints)
+    if not n:
+        return prints.select("fp", F.col("fp").alias("root"))
     plan = plan_parts(n, together, tau)
     index = index_rows(prints, plan, [])
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= tau
@@ -209,8 +224,10 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     rows = stage(with_fingerprint(only(docs, doc_id="long", text="string"), "text", "fp").drop("text"), "fingerprints")
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = link_components(prints.select("fp"), tau).join(prints, "fp")
-    smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = roots.select("fp", "root").join(smallest, "root").select("fp", "component_id")
+    # Both sides of the joins are plain tables, so that a component or a fingerprint of very many rows can be split.
+    roots = stage(roots.select("fp", "root", "first"), "component-roots")
+    smallest = stage(roots.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    labels = stage(roots.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "labels")
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -218,14 +235,16 @@ def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (nulls last), then of the smallest text key.
 
     Rows equal in both are one document repeated; the one of the smallest content stays. All
-    columns are kept; they must be of types that can be ordered.
+    columns are kept, whatever their names; they must be of types that can be ordered. An empty
+    table gives an empty one.
     """
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_key": text_key(F.col("text"))})
-    rows = stage(with_fingerprint(keyed.select("_id", "_key", "text"), "text", "fp").drop("text"), "fingerprints")
-    prints = stage(rows.groupBy("fp").agg(F.min(F.struct("_id", "_key")).alias("first")), "prints")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), text_key(F.col("text").cast("string")).alias("key"), own)
+    rows = stage(with_fingerprint(keyed.select("id", "key", F.col("row.text").alias("text")), "text", "fp").drop("text"), "fingerprints")
+    prints = stage(rows.groupBy("fp").agg(F.min(F.struct("id", "key")).alias("first")), "prints")
     roots = link_components(prints.select("fp"), tau).join(prints, "fp")
-    kept = roots.groupBy("root").agg(F.min("first").alias("k")).select("k._id", "k._key")
-    stay = keyed.join(kept, ["_id", "_key"]).groupBy("_id", "_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    kept = stage(roots.groupBy("root").agg(F.min("first").alias("k")).select("k.id", "k.key"), "kept")
+    stay = keyed.join(kept, ["id", "key"]).groupBy("id", "key").agg(F.min("row").alias("row"))
     return stay.select("row.*")
 
 
