@@ -22,6 +22,7 @@ REACH = SPAN - K
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: At most so many benchmark fingerprints (about 200 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+SALTS = 16
 PRINTS = "array<struct<h:bigint,p:int,before:array<bigint>,after:array<bigint>>>"
 
 
@@ -73,12 +74,20 @@ def item_rows(benchmark: DataFrame) -> DataFrame:
     return word_hashes(items, "text", ["item"]).where("_n > 0").distinct()
 
 
-def joined(left: DataFrame, right: DataFrame, on: Column, rows: int, how: str) -> DataFrame:
-    """Broadcasts ``right`` if it has few rows; beyond that the join shuffles both sides."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def joined(left: DataFrame, right: DataFrame, on: Column, rows: int, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcasts ``right`` if it has at most ``most`` rows; beyond that the join shuffles both sides.
+
+    There each row of ``right`` goes to SALTS salts and those of ``left`` are dealt over them by
+    their place, so a k-gram that stands in very many texts does not meet in one task.
+    """
+    if rows <= most:
+        return left.join(F.broadcast(right), on, how)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns[:2], "p"), F.lit(SALTS)).cast("int"))
+    copies = right.withColumn("_of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, on & (F.col("_salt") == F.col("_of_salt")), how).drop("_salt", "_of_salt")
 
 
-def hit_ranges(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+def hit_ranges(docs: DataFrame, benchmark: DataFrame, keep: list[str], most: int = BROADCAST_ROWS) -> DataFrame:
     """``keep``, _n and a row for each range of words [lo, hi) that matches an item; rows without one have null there.
 
     Every row of ``docs`` appears at least once with a null range, so texts are read once.
@@ -93,18 +102,18 @@ def hit_ranges(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFr
     none = F.struct(F.xxhash64(F.lit("no k-gram"), *keep).alias("h"), F.lit(-1).alias("p"), F.array().cast("array<bigint>").alias("before"), F.array().cast("array<bigint>").alias("after"))
     rows = marked.select(*keep, "_n", F.explode(F.concat(F.array(none), F.coalesce("_prints", F.array().cast(PRINTS)))).alias("x"))
     rows = rows.select(*keep, "_n", "x.*")
-    met = joined(rows, prints, F.col("h") == F.col("bh"), prints.count(), "left")
+    met = joined(rows, prints, F.col("h") == F.col("bh"), prints.count(), "left", most)
     met = met.where((F.col("p") < 0) | F.col("item").isNotNull())
     met = met.withColumns({"left": agreeing("before", "item_before"), "right": agreeing("after", "item_after")})
     good = (F.col("p") >= 0) & (F.col("left") + K + F.col("right") >= SPAN)
     low, high = F.col("p") - F.col("left"), F.col("p") + K + F.col("right")
     out = met.where((F.col("p") < 0) | good).select(*keep, "_n", (F.col("p") < 0).alias("own"), *[F.when(F.col("p") >= 0, c).alias(name) for name, c in (("item", F.col("item")), ("lo", low), ("hi", high))])
     for n in sorted(shorts):
-        out = out.unionByName(short_hits(hashed, items, n, keep))  # one window each
+        out = out.unionByName(short_hits(hashed, items, n, keep, most))  # one window each
     return out
 
 
-def short_hits(hashed: DataFrame, items: DataFrame, n: int, keep: list[str]) -> DataFrame:
+def short_hits(hashed: DataFrame, items: DataFrame, n: int, keep: list[str], most: int) -> DataFrame:
     """Ranges of the texts' windows of ``n`` words that equal an item of ``n`` words."""
     hw = F.col("_hw")
 
@@ -114,7 +123,7 @@ def short_hits(hashed: DataFrame, items: DataFrame, n: int, keep: list[str]) ->
     wanted = items.where(F.col("_n") == n).select(window(F.lit(0)).alias("bh"), "item")
     places = F.transform(F.sequence(F.lit(0), F.col("_n") - n), lambda i: F.struct(window(i).alias("h"), i.alias("p")))
     rows = hashed.where(F.col("_n") >= n).select(*keep, "_n", F.explode(places).alias("x")).select(*keep, "_n", "x.h", "x.p")
-    met = joined(rows, wanted, F.col("h") == F.col("bh"), wanted.count(), "inner")
+    met = joined(rows, wanted, F.col("h") == F.col("bh"), wanted.count(), "inner", most)
     return met.select(*keep, "_n", F.lit(False).alias("own"), "item", F.col("p").alias("lo"), (F.col("p") + n).alias("hi"))
 
 
@@ -124,15 +133,16 @@ def covered(ranges: Column) -> Column:
     return F.aggregate(ranges, start, lambda a, r: F.struct(F.greatest(a["end"], r["hi"]).alias("end"), (a["total"] + F.greatest(F.lit(0), r["hi"] - F.greatest(r["lo"], a["end"]))).alias("total")), lambda a: a["total"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) of every row of ``docs``.
 
     Null texts have no words. Rows that repeat are each returned; rows of one doc_id and
     different texts are told apart. An item of 1 to 9 words is one window, one without words
     none; items of one id are one item. Either table may be empty. Other columns are ignored.
+    Beyond ``most`` fingerprints the benchmark is not broadcast.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text")).withColumn("_key", text_key(F.col("_text")))
-    hits = hit_ranges(keyed, benchmark, ["doc_id", "_key"])
+    hits = hit_ranges(keyed, benchmark, ["doc_id", "_key"], most)
     found = hits.groupBy("doc_id", "_key").agg(
         F.max("_n").alias("n_words"),
         F.count(F.when(F.col("own"), 1)).alias("copies"),
@@ -143,13 +153,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_key": text_key(F.col("text").cast("string"))})
-    hits = hit_ranges(keyed.select("_id", "_key", F.col("text").cast("string").alias("_text")), benchmark, ["_id", "_key"])
-    bad = stage(hits.where("lo is not null").select("_id", "_key").distinct(), "contaminated")
-    few = bad.count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(bad) if few else bad, ["_id", "_key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``docs`` without a hit, with all their columns, whatever their names; either table may be empty."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), text_key(F.col("text").cast("string")).alias("key"), own)
+    hits = hit_ranges(keyed.select("id", "key", F.col("row.text").cast("string").alias("_text")), benchmark, ["id", "key"], most)
+    bad = stage(hits.where("lo is not null").select("id", "key").distinct(), "contaminated")
+    few = bad.count() <= most
+    return keyed.join(F.broadcast(bad) if few else bad, ["id", "key"], "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
