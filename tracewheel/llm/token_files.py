@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewheel.llm.common import fresh_path, only, shared_dir, stage
+from tracewheel.llm.common import fresh_path, only, stage
 
 MAGIC = b"TWPLANE1"
 KINDS = ("byte", "bit")
@@ -161,14 +161,17 @@ class PieceEncoder:
     line end after and before non-blanks is a piece of its own, so a text in which white space
     is only ever one blank or one line end can be cut there: its ids are those of its pieces in
     order. Any other text is encoded as it stands. Two generations of at most ``keep`` pieces
-    each bound the memory; a piece that has been dropped is encoded anew.
+    each bound the memory; a piece that has been dropped is encoded anew. A text that holds
+    the string of an added token is encoded as it stands: there that string is its token's id,
+    or ordinary text with ``plain_specials``.
     """
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 350_000, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.keep = self.tokenizer.model, keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -211,7 +214,7 @@ class PieceEncoder:
         cache, out = self.young, []
         for text in texts:
             flat = text.replace("\n", " ")
-            if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":
+            if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " " or any(a in text for a in self.added):
                 out.append(self.whole(text))
                 continue
             pieces = ("\r" + text.replace("\n", " \n")).split(" ") if text else []
@@ -228,17 +231,17 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, plain_specials: bool = False) -> PieceEncoder:
     """One encoder a Python worker, kept between tasks."""
-    if path not in _ENCODERS:
+    if (path, plain_specials) not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+        _ENCODERS[path, plain_specials] = PieceEncoder(path, plain_specials=plain_specials)
+    return _ENCODERS[path, plain_specials]
 
 
 def open_place(uri: str):
@@ -266,19 +269,20 @@ def _groups(texts: Iterable[tuple[int | None, str]]) -> Iterator[list[tuple[int
         yield group
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, kind: str = "byte", block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID, kind: str = "byte", block_ids: int = BLOCK_IDS, plain_specials: bool = False) -> DataFrame:
     """Encodes every text and writes one plane file a partition, in ascending doc_id order.
 
     Returns the manifest (part, file, n_docs, n_ids), kept as a table: only files named in it
     count, so what a lost or repeated task has written is never read. Null doc_ids come first,
     a null text is empty, equal doc_ids are ordered by text, an empty table gives an empty
-    manifest. Columns other than doc_id and text are ignored.
+    manifest. Columns other than doc_id and text are ignored. The string of an added token is
+    that token, or ordinary text with ``plain_specials``.
     """
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, tail = encoder(tokenizer_path), struct.pack("<I", end_id)
+        enc, tail = encoder(tokenizer_path, plain_specials), struct.pack("<I", end_id)
         fs, root = open_place(folder)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
