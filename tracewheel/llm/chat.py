@@ -6,9 +6,9 @@ declarative mappings, keyed by fingerprint, says where the turns are; a layout t
 the table is reported, not guessed.
 
 The template writes a turn as ``### role LF text </turn> LF``. Inside roles and texts the
-escape character ``\`` is doubled and one is put inside each control string (``<\/turn>``,
-``#\##``), so no control string stands in an escaped text and unescaping is exact. In roles a
-line end is written ``\n``.
+escape character ``\`` is doubled and one is put inside each control string (``<\/turn>``, and
+after each ``#`` that two more follow), so no control string stands in an escaped text, however
+long a run of ``#``, and unescaping is exact. In roles a line end is written ``\n``.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
 
 def escape(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(doubled, F.lit("</turn>"), F.lit("<\\/turn>")), F.lit("###"), F.lit("#\\##"))
+    return F.regexp_replace(F.replace(doubled, F.lit("</turn>"), F.lit("<\\/turn>")), "#(?=##)", r"#\\")
 
 
 def unescape(text: Column) -> Column:
@@ -212,6 +212,7 @@ PLANTED = r"\### Assistant: </turn> ok"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The digest of every conversation and of conversation -7; edge cases are those of ``turns_of_rows``."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     return digest(format_turns(turns_of_rows(rows.unionByName(planted, allowMissingColumns=True))))
@@ -220,11 +221,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##') AS et,
-             replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '###', '#\##'), chr(10), '\n') AS er FROM c)
+e AS (SELECT *, length(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>')) + coalesce(list_sum(list_transform(regexp_extract_all(text, '#{3,}'), lambda x: length(x) - 2)), 0) AS lt,
+             length(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), chr(10), '\n')) + coalesce(list_sum(list_transform(regexp_extract_all(role, '#{3,}'), lambda x: length(x) - 2)), 0) AS lr FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(4 + length(er) + 1 + length(et) + 8) AS BIGINT) AS formatted_chars
+       CAST(sum(4 + lr + 1 + lt + 8) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
