@@ -1,11 +1,12 @@
 """Mixing sources to target weights, in blocks of tokens.
 
-The words of a source, its documents one after another, are cut into blocks of fixed length.
-A mix of N slots is cut into output shards of fixed length; how many slots of a shard each
-source gets is a multinomial draw without replacement from the N slots, so that the sums over
-all shards are the targets and not only their expectation. The slots of a source, numbered
-through its shards, are mapped to its blocks by a pseudorandom permutation of its own, once
-round per epoch, and blocks are joined by index.
+The words of a source, its documents one after another, are cut into blocks of fixed length. A
+mix of N slots is cut into output shards of fixed length; a shard's counts by source are a
+multinomial draw, each of its slots falling to a source in proportion to the source's slots of
+the mix. Over all shards the draws miss the targets by chance; so the last slots of sources
+drawn too often are given to those drawn too seldom, and the sums are the targets. The slots of
+a source, numbered through its shards, are mapped to its blocks by a pseudorandom permutation of
+its own, once round per epoch, and blocks are joined by index.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewheel.llm.common import count_space_words, only, running_position, space_words, stage, text_key
+from tracewheel.llm.common import chunks_for, count_space_words, only, prefix_sums, running_position, space_words, stage, text_key
 
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
@@ -21,9 +22,12 @@ SHARE = 1.5
 MOST = 2.0
 WEIGHTS = (5, 2, 1)
 SEED = 20240229
-CHUNKS = 256
 #: Rounds of the shuffle.
 ROUNDS = 24
+#: Cells into which a line of ranges is cut to find a point's range by an equi-join.
+CELLS = 4096
+#: At most so many ranges of sources are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def permute(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
@@ -49,25 +53,21 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights=
     amount a unit of weight, and the sources in order of limit a unit of weight show where the
     stops end. Sources sort by code point, null last.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_limit = Window.orderBy("limit_unit", "weight", F.col("source").asc_nulls_last())
-    before, every = by_limit.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
+    by_name, n = F.col("source").asc_nulls_last(), sizes.count()
+    ranked = prefix_sums(sizes, n, [by_name], rank=F.lit(1).cast("long"))
+    weighed = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
     limited = weighed.withColumn("limit", F.lit(most) * F.col("source_size")).withColumn("limit_unit", F.col("limit") / F.col("weight"))
-    summed = limited.select(
-        "*",
-        F.coalesce(F.sum("limit").over(before), F.lit(0.0)).alias("stopped"),
-        (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("open_weight"),
-        (F.lit(share) * F.sum("source_size").over(every)).alias("whole"),
-    )
-    unit = (F.col("whole") - F.col("stopped")) / F.col("open_weight")
-    level = F.max(F.when(F.col("limit_unit") >= unit, unit)).over(every)
-    return summed.withColumn("level", level).select("source", "source_size", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
+    summed = prefix_sums(limited, n, [F.col("limit_unit"), F.col("weight"), by_name], stopped=F.col("limit"), closed=F.col("weight"))
+    whole, weight = summed.agg(F.sum("source_size"), F.sum("weight")).collect()[0]
+    unit = (F.lit(share * (whole or 0)) - F.col("stopped")) / (F.lit(weight or 1.0) - F.col("closed"))
+    level = summed.agg(F.max(F.when(F.col("limit_unit") >= unit, unit))).collect()[0][0]
+    goal = F.col("limit") if level is None else F.least("limit", F.lit(level) * F.col("weight"))
+    return summed.select("source", "source_size", goal.alias("target"))
 
 
 def source_plan(rows: DataFrame, block: int) -> DataFrame:
     """One row a source: its target, words a mix takes, and its numbers of blocks and slots."""
-    sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    sizes = stage(rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "mix-sources")
     goal = targets(sizes).withColumn("words", F.floor(F.col("target") + 1e-6).cast("long"))
     size = F.greatest(F.col("source_size"), F.lit(1))
     return (
@@ -84,28 +84,63 @@ def spread_over(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def draw_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, source, n, first): each output shard's draw, and how many slots of the source earlier shards have.
+def in_ranges(rows: DataFrame, point: str, ranges: DataFrame, n: int, total: int) -> DataFrame:
+    """``rows`` with the columns of the range (low, high) of ``ranges``, at most ``n``, that holds ``point``.
 
-    All slots of the mix are permuted; a slot's place in the permutation falls into the range
-    of one source. A shard's counts are thus a multinomial draw given the sums over all shards.
-    ``plan`` has one row a source, so the ranges fit an array.
+    The ranges are disjoint and lie in 0..total-1. The line is cut into cells; a range is in each
+    cell that it meets, a point in one, so they meet by an equi-join on the cell.
+    """
+    width = max(1, -(-total // CELLS))
+    cells = ranges.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("low") / width).cast("long"), F.floor((F.col("high") - 1) / width).cast("long"))))
+    cells = F.broadcast(cells) if n + CELLS <= BROADCAST_ROWS else cells
+    found = rows.withColumn("_in", F.floor(F.col(point) / width).cast("long"))
+    return found.join(cells, (F.col("_in") == F.col("_cell")) & (F.col(point) >= F.col("low")) & (F.col(point) < F.col("high"))).drop("_cell", "_in")
+
+
+def draw_counts(plan: DataFrame, total: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, source, n): how many of each output shard's slots fall to each source, a multinomial draw a shard."""
+    by_name = F.col("source").asc_nulls_last()
+    n = plan.count()
+    ranges = prefix_sums(plan.where("slots > 0").select("source", "slots"), n, [by_name], low=F.col("slots")).select("source", "low", (F.col("low") + F.col("slots")).alias("high"))
+    shards = plan.sparkSession.range(0, -(-total // shard_slots), 1, spread_over(plan)).withColumnRenamed("id", "shard")
+    last = F.least(F.lit(total), (F.col("shard") + 1) * shard_slots) - 1
+    slots = shards.select("shard", F.explode(F.sequence(F.col("shard") * shard_slots, last)).alias("slot"))
+    drawn = slots.select("shard", F.pmod(F.xxhash64(F.lit(seed), "slot"), F.lit(total)).alias("point"))
+    return in_ranges(drawn, "point", ranges, n, total).groupBy("shard", "source").agg(F.count("*").alias("n"))
+
+
+def mix_slots(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, source, index): every slot of the mix, with its number among the source's slots, 0 to slots - 1.
+
+    A source's draws are numbered through its shards. Numbers beyond its slots are surplus; they
+    are numbered through all sources and fall, in that order, to the sources that lack slots.
     """
-    ranges = plan.where("slots > 0").agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "slots"))).alias("s"), F.sum("slots").alias("total"))
-    # Running ends of the ranges, in source order.
-    ends = F.aggregate(F.col("s"), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(x["slots"] + F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(F.lit(0)))))
-    shards = ranges.where("total > 0").select(F.col("s.source").alias("names"), ends.alias("ends"), "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / shard_slots).cast("long"))).alias("shard"))
-    dealt = shards.repartition(spread_over(plan), "shard")
-    last = F.least(F.col("total"), (F.col("shard") + 1) * shard_slots) - 1
-    slots = dealt.select("names", "ends", "total", "shard", F.explode(F.sequence(F.col("shard") * shard_slots, last)).alias("slot"))
-    place = permute(F.col("slot"), F.col("total"), F.lit(seed))
-    drawn = slots.select("shard", "names", "ends", place.alias("place")).select("shard", F.element_at("names", F.size(F.filter("ends", lambda e: e <= F.col("place"))) + 1).alias("source"))
-    counts = drawn.groupBy("shard", "source").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-
-
-def slot_blocks(draws: DataFrame, plan: DataFrame, block: int, seed: int) -> DataFrame:
+    spark = plan.sparkSession
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0))).collect()[0][0]
+    if not total:
+        return spark.createDataFrame([], "shard long, source string, index long")
+    counts = draw_counts(plan, total, shard_slots, seed)
+    chunks, n = chunks_for(-(-total // shard_slots)), plan.count()
+    counts = running_position(stage(counts, "mix-counts"), ["source"], [F.col("shard")], F.xxhash64("shard"), F.col("n"), chunks, "first")
+    wanted = plan.where("slots > 0").select(F.col("source").alias("_source"), "slots")
+    counts = stage(counts.join(wanted, F.col("source").eqNullSafe(F.col("_source"))).drop("_source"), "mix-draws")
+    drawn = counts.groupBy(F.col("source").alias("_source")).agg(F.sum("n").alias("drawn"))
+    lack = plan.where("slots > 0").select("source", "slots").join(drawn, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    lack = lack.where("slots > drawn").select("source", "drawn", (F.col("slots") - F.col("drawn")).alias("lack"))
+    lack = prefix_sums(lack, n, [F.col("source").asc_nulls_last()], low=F.col("lack"))
+    lack = stage(lack.select("source", "drawn", "low", (F.col("low") + F.col("lack")).alias("high")), "mix-lack")
+    missing = lack.agg(F.coalesce(F.max("high"), F.lit(0))).collect()[0][0]
+    surplus = F.greatest(F.lit(0).cast("long"), F.col("first") + F.col("n") - F.greatest("first", "slots"))
+    counts = counts.withColumn("surplus", surplus)
+    kept = counts.where("n > surplus").repartition(spread_over(plan), "shard", "source").select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - F.col("surplus") - 1)).alias("index"))
+    if not missing:
+        return kept
+    over = running_position(counts.where("surplus > 0").select("shard", "source", "surplus"), [], [F.col("shard"), F.col("source")], F.xxhash64("shard", "source"), F.col("surplus"), chunks, "at")
+    over = over.select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("surplus") - 1)).alias("point"))
+    return kept.unionByName(in_ranges(over, "point", lack, n, missing).select("shard", "source", (F.col("drawn") + F.col("point") - F.col("low")).alias("index")))
+
+
+def slot_blocks(slots: DataFrame, plan: DataFrame, block: int, seed: int) -> DataFrame:
     """(shard, source, block, epoch, limit): the block of every slot and how many words of it the slot takes.
 
     In each epoch the full blocks come in permuted order and the short one at the end of the
@@ -113,8 +148,7 @@ def slot_blocks(draws: DataFrame, plan: DataFrame, block: int, seed: int) -> Dat
     what is left of the target.
     """
     s = plan.select(F.col("source").alias("_source"), "epochs", "rest", "full", "blocks")
-    slots = draws.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").repartition(spread_over(plan), "shard", "source")
-    slots = slots.select("*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("index"))
+    slots = slots.join(s, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     slots = slots.withColumn("epoch", F.floor(F.col("index") / F.col("blocks")).cast("long")).withColumn("place", F.pmod("index", "blocks"))
     key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\0")), F.col("epoch"))
     found = F.when(F.col("place") < F.col("full"), permute(F.col("place"), F.greatest(F.col("full"), F.lit(1).cast("long")), key)).otherwise(F.col("place"))
@@ -138,11 +172,11 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     return stage(rows.select("doc_id", "source", count_space_words(F.col("text")).alias("size"), text_key(F.col("text")).alias("h")), "sizes")
 
 
-def mixed_pieces(sized: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, chunks: int = CHUNKS) -> tuple[DataFrame, DataFrame]:
+def mixed_pieces(sized: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mix as rows (the parts of every document that has words, with shard, index, epoch and words taken), and the plan."""
     plan = stage(source_plan(sized, block), "mix-plan")
-    placed = running_position(sized.where("size > 0"), ["source"], [F.col("doc_id"), F.col("h")], F.xxhash64("doc_id", "h"), F.col("size"), chunks, "start")
-    slots = slot_blocks(draw_counts(plan, shard_slots, seed), plan, block, seed)
+    placed = running_position(sized.where("size > 0"), ["source"], [F.col("doc_id"), F.col("h")], F.xxhash64("doc_id", "h"), F.col("size"), chunks_for(sized.count()), "start")
+    slots = slot_blocks(mix_slots(plan, shard_slots, seed), plan, block, seed)
     slots = slots.withColumnsRenamed({"source": "_source", "block": "_block"})
     parts = pieces(placed, block, ["doc_id", "h"])
     # Slots grow with the corpus and are never broadcast, though their plan starts from one row.
@@ -172,26 +206,30 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 
     A document taken whole keeps its text as it is; of one taken in part the words taken are
     joined by blanks, in order. n_chars, if there is such a column, is the length of the text.
-    Documents without a word are not in the mix. Columns must be of types that can be ordered.
+    Documents without a word are not in the mix, so a table without words gives an empty one.
+    All columns are kept, whatever their names; they must be of types that can be ordered.
     """
     names = docs.columns
     mixed, _ = mixed_pieces(sized_rows(docs), **how)
-    key = {"_s": F.coalesce(F.col("source").cast("string"), F.lit("\0")), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))}
-    taken = mixed.where("taken > 0").groupBy("source", "start", "doc_id", "h", "size", "epoch").agg(F.sum("taken").alias("_taken"), F.sort_array(F.collect_list(F.struct("from_word", "taken"))).alias("_parts"))
-    copies = taken.groupBy("source", "start", "doc_id", "h", "size").agg(F.collect_list(F.struct("_taken", "_parts")).alias("_epochs")).withColumns(key)
+    key = {"s": F.coalesce(F.col("source").cast("string"), F.lit("\0")), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))}
+    taken = mixed.where("taken > 0").groupBy("source", "start", "doc_id", "h", "size", "epoch").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list(F.struct("from_word", "taken"))).alias("parts"))
+    copies = taken.groupBy("source", "start", "doc_id", "h", "size").agg(F.collect_list(F.struct("taken", "parts")).alias("epochs"))
+    copies = copies.select(*[c.alias(n) for n, c in key.items()], "h", "size", "start", "epochs")
     # Rows equal in source, doc_id and text each have a place of their own in the source.
-    copies = copies.withColumn("_copy", F.row_number().over(Window.partitionBy("_s", "_id", "h").orderBy("start")))
-    copies = copies.select("_s", "_id", F.col("h").alias("_h"), "_copy", F.col("size").alias("_size"), "_epochs")
-    keyed = docs.withColumns({**key, "_h": text_key(F.col("text"))})
-    others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text", "source")]
-    keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("_s", "_id", "_h").orderBy(*others, F.lit(1))))
-    took = keyed.join(copies, ["_s", "_id", "_h"]).where("_row = _copy").withColumn("_e", F.explode("_epochs"))
-    part = F.col("_e._taken") < F.col("_size")
-    took = took.withColumn("_words", F.when(part, space_words(F.col("text"))))
-    cut = F.array_join(F.flatten(F.transform("_e._parts", lambda p: F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), p["taken"].cast("int")))), " ")
-    took = took.withColumn("_text", F.when(part, cut).otherwise(F.col("text")))
-    return took.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    same = Window.partitionBy("s", "id", "h")
+    copies = copies.withColumn("copy", F.row_number().over(same.orderBy("start"))).drop("start")
+    worded = docs.where(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    keyed = worded.select(*[c.alias(n) for n, c in key.items()], text_key(F.col("text").cast("string")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    keyed = keyed.withColumn("copy", F.row_number().over(same.orderBy(*[F.col("row")[c] for c in names if c not in ("doc_id", "text", "source")], F.lit(1))))
+    took = keyed.join(copies, ["s", "id", "h", "copy"]).withColumn("e", F.explode("epochs"))
+    part, text = F.col("e.taken") < F.col("size"), F.col("row.text")
+    took = took.withColumn("words", F.when(part, space_words(text.cast("string"))))
+    cut = F.array_join(F.flatten(F.transform("e.parts", lambda p: F.slice(F.col("words"), (p["from_word"] + 1).cast("int"), p["taken"].cast("int")))), " ")
+    took = took.withColumn("mixed_text", F.when(part, cut).otherwise(text))
+    new = {"text": F.col("mixed_text"), "n_chars": F.length("mixed_text")}
+    return took.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c) for c in names])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The report of a mix of all documents; edge cases are those of ``mix_report``."""
     return mix_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
