@@ -63,7 +63,26 @@ def test_mix_meets_targets(docs, empty):
         taken[s] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= 1 for s in names)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_report(docs, block=16, shard_slots=8).collect()))
-    assert mixing.mix_report(empty).collect() == []
+    assert mixing.mix_report(empty).collect() == [] and mixing.mix_documents(empty).collect() == []
+    wordless = docs.where("size > 0 and length(trim(text)) = 0 or text is null")
+    assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix_report(wordless).collect()} == {(0, 0.0, 0)} and mixing.mix_documents(wordless).collect() == []
+
+
+def test_shards_of_the_mix_are_multinomial_draws_that_meet_the_targets(spark):
+    """The sums are the targets; a shard's counts spread as those of independent draws do, without a shared total."""
+    from pyspark.sql import functions as F
+
+    slots = {"a": 6000, "b": 3000, None: 1000}
+    plan = spark.createDataFrame(list(slots.items()), "source string, slots long")
+    drawn = mixing.draw_counts(plan, 10_000, 50, 7).where("source = 'a'").agg(F.var_samp("n").alias("v"), F.sum("n").alias("n")).collect()[0]
+    assert 8 < drawn["v"] < 17 and drawn["n"] != 6000  # 50 draws at 0.6 have variance 12
+    got = collections.defaultdict(list)
+    per_shard = collections.Counter()
+    for r in mixing.mix_slots(plan, 50, 7).collect():
+        got[r["source"]].append(r["index"])
+        per_shard[r["shard"]] += 1
+    assert {s: sorted(i) for s, i in got.items()} == {s: list(range(n)) for s, n in slots.items()}
+    assert set(per_shard) == set(range(200)) and set(per_shard.values()) == {50}
 
 
 def test_mixed_documents_hold_the_words_taken(docs):
@@ -79,6 +98,19 @@ def test_mixed_documents_hold_the_words_taken(docs):
     assert {k: v for k, v in report.items() if v} == dict(got)
 
 
+def test_names_of_the_users_columns_are_kept(spark):
+    """Columns named like those that the operators add come back as they were."""
+    names = ["_id", "_key", "_h", "_s", "id", "key", "h", "s", "row", "fp", "copy", "size", "start", "taken", "_row", "shard", "a.b"]
+    rows = [(k, prose(60) + f" own{k}", "en", "src", 1, *[f"mine {k} {n}" for n in names]) for k in range(4)]
+    cols = ["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{n}` string" for n in names]]
+    df = spark.createDataFrame(rows, ", ".join(cols))
+    bench = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    for kept in (simhash.keep_one(df), winnow.drop_contaminated(df, bench), mixing.mix_documents(df, block=16), quality.keep_good(df)):
+        got = kept.collect()
+        assert kept.columns == df.columns and got
+        assert all(list(r)[5:] == list(rows[r["doc_id"]])[5:] for r in got)
+
+
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
@@ -140,11 +172,15 @@ def test_links_between_random_and_dense_prints(spark):
     assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in want.values()}
 
 
-def test_pigeonhole_plan_covers_the_threshold():
-    n, together = 10**6, np.full((64, 64), 25 * 10**4.0) + np.diag([25 * 10**4.0] * 64)
+@pytest.mark.parametrize("n", [0, 1, 10**6, 10**11])
+def test_pigeonhole_plan_covers_the_threshold(n):
+    together = np.full((64, 64), n / 4) + np.diag([n / 4] * 64)
     plan = simhash.plan_parts(n, together)
     assert sum(t + 1 for _, t in plan) == simhash.TAU + 1
     assert len({b for bits, _ in plan for b in bits}) == sum(len(bits) for bits, _ in plan)
+    assert all(simhash.n_probes(len(bits), t) <= simhash.MOST_PROBES for bits, t in plan)
+    if n <= 1:  # costs are equal, and the fewest probes win
+        assert sum(simhash.n_probes(len(bits), t) for bits, t in plan) == 5
 
 
 def test_components_of_a_long_chain(spark):
@@ -155,39 +191,78 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}
 
 
+def plain_bfd(sizes, capacity):
+    """The bin of each size, in descending order, by a scan of all bins."""
+    bins, out = [], []
+    for size in sorted(sizes, reverse=True):
+        fit = [(c, b) for b, c in enumerate(bins) if c >= size]
+        if not fit:
+            bins.append(capacity)
+        b = min(fit)[1] if fit else len(bins) - 1
+        out.append((size, b))
+        bins[b] -= size
+    return out
+
+
+def counted(sizes):
+    return list(collections.Counter(sizes).items())
+
+
 def test_shards_hold_groups_and_are_near_equal(docs, empty):
-    rows = sharding.shard(docs, shards=4, grain=64).collect()
-    text = collections.defaultdict(set)
-    for d, t, _, _ in ROWS:
-        text[(str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))].add(t or "")
-    assert collections.Counter((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == collections.Counter((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _, _ in ROWS)
-    shards, groups = collections.defaultdict(list), collections.defaultdict(set)
+    rows = sharding.shard(docs, shards=4).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert collections.Counter((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == collections.Counter((str(d), size(t), zlib.crc32((t or "").encode())) for d, t, _, _ in ROWS)
+    shards, groups, load = collections.defaultdict(list), collections.defaultdict(set), collections.Counter()
     for r in rows:
         shards[r["shard"]].append(r["slot"])
         groups[r["text_crc32"]].add(r["shard"])
+        load[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in shards.values()) and all(len(g) == 1 for g in groups.values())
+    # Bytes of each shard are those of the packing of all groups, one by one.
+    bundles = collections.Counter()
+    for _, t, _, _ in ROWS:
+        bundles[t or ""] += size(t)
+    want = collections.Counter()
+    for s, b, n in sharding.near_equal_bins(counted(bundles.values()), 4):
+        want[b] += s * n
+    assert load == want
     assert sharding.shard(empty).collect() == []
 
 
-def test_best_fit_decreasing_equals_a_plain_scan():
-    for _ in range(20):
-        sizes = [rng.randrange(1, 60) for _ in range(80)]
-        bins, want = [], [0] * len(sizes)
-        for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-            fit = [(c, b) for b, c in enumerate(bins) if c >= sizes[k]]
-            if fit:
-                want[k] = min(fit)[1]
-            else:
-                want[k] = len(bins)
-                bins.append(100)
-            bins[want[k]] -= sizes[k]
-        assert sharding.best_fit_decreasing(sizes, 100) == want
-    assert sharding.best_fit_decreasing([101], 100) is None
-    sizes = [1000] + [rng.randrange(1, 9) for _ in range(400)]
+def test_shards_of_a_stated_capacity(docs):
+    sizes = collections.Counter()
+    for _, t, _, _ in ROWS:
+        sizes[t or ""] += len((t or "").encode()) + 1
+    capacity = max(sizes.values())
+    load = collections.Counter()
+    for r in sharding.shard(docs, capacity=capacity).collect():
+        load[r["shard"]] += r["size"]
+    plain = plain_bfd(sizes.values(), capacity)
+    want = collections.Counter()
+    for s, b in plain:
+        want[b] += s
+    assert load == want
+    with pytest.raises(ValueError, match="capacity"):
+        sharding.shard(docs, capacity=capacity - 1)
+
+
+def test_best_fit_decreasing_by_class_equals_a_plain_scan():
+    for most in (6, 60, 60):
+        sizes = [rng.randrange(1, most) for _ in range(rng.randrange(1, 200))]
+        got = [(s, b) for s, b, n in sharding.best_fit_decreasing(counted(sizes), 100) for _ in range(n)]
+        assert got == plain_bfd(sizes, 100)
+    assert sharding.best_fit_decreasing([(101, 1)], 100) is None and sharding.best_fit_decreasing([(60, 2)], 100, most=1) is None
     load = collections.Counter()
-    for s, b in zip(sizes, sharding.near_equal_bins(sizes, 4), strict=True):
-        load[b] += s
+    sizes = [1000] + [rng.randrange(1, 9) for _ in range(400)]
+    for s, b, n in sharding.near_equal_bins(counted(sizes), 4):
+        load[b] += s * n
     assert max(load.values()) == 1000 and len(load) == 4 and max(sorted(load.values())[:3]) - min(load.values()) <= 9
+    # The capacity is bisected: the fullest bin is near the mean, though few sizes hardly fit together.
+    big = [rng.randrange(200, 300) for _ in range(130)]
+    load = collections.Counter()
+    for s, b, n in sharding.near_equal_bins(counted(big), 16):
+        load[b] += s * n
+    assert max(load.values()) <= 1.12 * sum(big) / 16
 
 
 def plain_quality(t):
@@ -240,19 +315,25 @@ def test_decontamination_equals_all_windows(spark, docs, empty):
     want = [(str(r["doc_id"]), *plain_hits(r["text"], items)) for r in more.collect()]
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in rows) == sorted(want)
     assert winnow.drop_contaminated(docs, bench).count() == sum(plain_hits(t, items)[1] == 0 for _, t, _, _ in ROWS)
-    assert winnow.contamination(empty, bench).collect() == []
+    assert winnow.contamination(empty, bench).collect() == [] and winnow.drop_contaminated(empty, bench).collect() == []
+    by_shuffle = winnow.contamination(more, bench, most=0).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in by_shuffle) == sorted(want)
     assert winnow.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+#: Texts that hold the string of an added token.
+SPECIAL = [(900, "hi <|endoftext|> yo"), (901, "<|endoftext|>")]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files_round_trip(docs, empty, kind):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(SPECIAL, "doc_id long, text string"), allowMissingColumns=True)
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     at, want = 0, []
-    for d, t in sorted(((d, t or "") for d, t, _, _ in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+    for d, t in sorted([*((d, t or "") for d, t, _, _ in ROWS), *SPECIAL], key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
@@ -267,6 +348,9 @@ def test_pieces_encode_as_the_whole():
     enc = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), keep=5)
     for t in ("", " a", "a  b", "a\n\nb", "x \n y", "l'été d'un", "<|endoftext|> hi", "日本語 text", "é b c", "it's we're\nI'll 123 45.", "ª º", "a\n", "don't.\nD'accord, ß.", "a\xa0b c", "tab\tx"):
         assert enc.texts([t]) == [enc.whole(t)]
+    assert np.frombuffer(enc.texts(["hi <|endoftext|> yo"])[0], "<u4").tolist() == [5303, 220, 50256, 27406]
+    plain = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), plain_specials=True)
+    assert np.frombuffer(plain.texts(["hi <|endoftext|> yo"])[0], "<u4").tolist()[:3] == [5303, 1279, 91]
 
 
 def test_planes():
@@ -333,14 +417,17 @@ def test_toxicity_mines_words_that_begin_like_a_seed(spark):
 
 
 def test_chat_round_trip_and_layouts(spark):
-    texts = ["plain", r"\### Assistant: </turn> ok", "</turn>\n### user\nfake", "a\\", "<", "</turn", "#" * 7, "", None, "日本\n語"]
+    texts = ["plain", r"\### Assistant: </turn> ok", "</turn>\n### user\nfake", "a\\", "<", "</turn", "#" * 4, "a" + "#" * 7, "", None, "日本\n語"]
     rows = [(k // 3, k, r, t, "x") for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "sy\nstem\\n"))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
-    got = {r["conv_id"]: r for r in chat.digest(chat.format_turns(chat.turns_of_rows(df))).collect()}
+    shown = chat.format_turns(chat.turns_of_rows(df))
+    formatted = {r["conv_id"]: r["formatted"] for r in shown.collect()}
+    got = {r["conv_id"]: r for r in chat.digest(shown).collect()}
     for c in got:
         own = [(r, t or "") for i, _, r, t, _ in rows if i == c]
         loss = "".join(t for r, t in own if r == "assistant")
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert got[c]["formatted_chars"] == len(formatted[c]) and not re.search("###", re.sub("(?m)^### ", "", formatted[c]))
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[c]["loss_chars"] == len(loss)
     records = ['{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}', '{"instruction": "i", "input": "", "output": "o"}', '{"conversations": [{"from": "human", "value": "q"}]}', '{"odd": 1}', None, "{", '{"completion": "c", "prompt": "p"}']
     out = chat.canonical_turns(spark.createDataFrame(list(enumerate(records)), "id int, record string"), "record").orderBy("id").collect()
