@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tracewheel.plans.oracles import ORACLES
 from tracewheel.plans.queries import QUERIES
 
-CHOSEN = ("anchor_gaps", "consistent_anchors", "verified_cycles", "cycle_stats", "kernel_signature", "name_hash", "normalized_name", "pattern_similarity", "cycle_patterns", "phase_classification", "kmer_anchors", "quick_verify", "match_compare", "change_heatmap", "no_patterns")
+CHOSEN = ("anchor_gaps", "consistent_anchors", "verified_cycles", "cycle_stats", "kernel_signature", "name_hash", "normalized_name", "pattern_similarity", "cycle_patterns", "phase_classification", "kmer_anchors", "quick_verify", "match_compare", "change_heatmap", "no_patterns", "distinct_kmers", "kmer_cycles", "simple_cycles", "bruteforce_cycle", "quick_probe", "standard_cycle", "pattern_stats", "align_compare", "smart_pairs", "trace_comparison", "trace_scan", "cycle_csv_lines", "cycle_csv_rows", "cycle_csv_shares", "compare_csv_lines", "sheet_cells")
 
 
 @pytest.mark.parametrize("name", CHOSEN)

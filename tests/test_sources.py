@@ -1,12 +1,16 @@
 import gzip
+import io
 import json
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tracewheel import cli
 from tracewheel.sources import cycle_csv, reports
-from tracewheel.sources.traces import each_event, read_traces
+from tracewheel.sources.json_stream import array_elements
+from tracewheel.sources.traces import each_event, kernel_slice, read_traces
 
 KERNEL = {"name": "k1", "cat": "kernel", "ph": "X", "ts": 1.5, "dur": 2.0, "pid": 1, "tid": 2}
 ELEMENTS = [
@@ -36,9 +40,53 @@ def test_trace_of_another_shape_is_an_error(spark, tmp_path, text):
         read_traces(spark, str(tmp_path / "t.json")).collect()
 
 
+def odd_document():
+    """A document with strings that hold brackets, other arrays, nested objects and characters of several bytes."""
+    return {"a": [1, {"traceEvents": [2]}], "s": '"]}{[\\', "traceEvents": [{"x": "]}, ü\\\""}, 12, -1.5e3, None, [[]], "é", {"n": {"m": [{}]}}, 123456], "b": None}
+
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 1 << 20])
+def test_elements_come_whole_however_the_text_is_cut(piece):
+    doc = odd_document()
+    text = json.dumps(doc, indent=1, ensure_ascii=False).encode()
+    assert list(array_elements(io.BytesIO(text), "traceEvents", piece)) == doc["traceEvents"]
+    assert list(array_elements(io.BytesIO(b'{"a": 1}'), "traceEvents", piece)) == []
+    for bad in (b"", b"[1]", b'{"traceEvents": 3}', b'{"traceEvents": [1, }', b'{"traceEvents": [1'):
+        with pytest.raises(ValueError):
+            list(array_elements(io.BytesIO(bad), "traceEvents", piece))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda c: st.lists(c, max_size=3) | st.dictionaries(st.text(), c, max_size=3), max_leaves=6), max_size=5), st.integers(1, 40), st.booleans())
+def test_elements_equal_those_of_a_whole_parse(elements, piece, ascii_only):
+    text = json.dumps({"k": 1, "traceEvents": elements}, ensure_ascii=ascii_only).encode("utf-8", "replace")
+    assert list(array_elements(io.BytesIO(text), "traceEvents", piece)) == json.loads(text)["traceEvents"]
+
+
+def test_kernel_slices_take_only_fitting_values():
+    assert kernel_slice(KERNEL | {"ts": 3, "pid": None})["ts"] == 3.0 and kernel_slice(KERNEL | {"pid": None})["pid"] == 0
+    assert kernel_slice(KERNEL | {"NAME": "k9"})["name"] == "k9"
+    for odd in ({"pid": True}, {"pid": 1e3}, {"pid": 1 << 63}, {"ts": "1"}, {"name": 5}, {"dur": []}):
+        assert kernel_slice(KERNEL | odd) is None
+
+
+def test_a_folder_of_traces_is_read_in_parallel(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"t{k}.json").write_text(json.dumps({"traceEvents": [KERNEL | {"pid": k, "ts": i} for i in range(k * 5000)]}))
+    rows = read_traces(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 3
+    got = rows.groupBy("pid").agg({"seq": "max", "trace_id": "count", "path": "min"}).collect()
+    assert sorted((r["pid"], r["max(seq)"], r["count(trace_id)"]) for r in got) == [(1, 4999, 5000), (2, 9999, 10000)]
+    assert rows.where("seq <> ts").count() == 0
+
+
 def test_callback_stops(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"traceEvents": [KERNEL] * 5}))
     assert each_event(spark, str(tmp_path / "t.json"), lambda e: False) == 1
+    # What follows the last event asked for is not read: here it is no JSON.
+    (tmp_path / "b.json").write_text('{"traceEvents": [' + json.dumps(KERNEL) + ", " + json.dumps(KERNEL | {"name": "k2"}) + ", oh no")
+    seen = []
+    assert each_event(spark, str(tmp_path / "b.json"), lambda e: seen.append(e["name"]) or len(seen) < 2) == 2 and seen == ["k1", "k2"]
 
 
 def rows_of(n):
@@ -108,4 +156,10 @@ def test_expected_failures_exit_with_one(spark, tmp_path):
     assert cli.main(["-input", str(tmp_path / "none.json")], spark) == 1
     (tmp_path / "e.json").write_text('{"traceEvents": []}')
     assert cli.main(["-input", str(tmp_path / "e.json")], spark) == 1
+    (tmp_path / "l.json").write_text("[]")
+    assert cli.main(["-input", str(tmp_path / "l.json")], spark) == 1
+    for argv in ([], ["-mode", "all"], ["compare-csv", "-baseline", "x"], ["kmer"], ["test-kmer"], ["odd"]):
+        with pytest.raises(SystemExit) as stopped:
+            cli.main(argv, spark)
+        assert stopped.value.code == 1
     assert cli.main(["compare-all", "-baseline", str(tmp_path / "x"), "-new", str(tmp_path / "y"), "-output", str(tmp_path / "z.xlsx")], spark) == 1

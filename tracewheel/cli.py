@@ -6,6 +6,7 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tracewheel.shipping import ship
 from tracewheel.sources import cycle_csv, reports
 from tracewheel.sources.sequence import as_events
 from tracewheel.sources.traces import read_traces
-from tracewheel.storage import staged
+from tracewheel.storage import scratch, staged
 
 
 class Stop(Exception):
@@ -153,15 +154,25 @@ def test_kmer(spark: SparkSession, a: argparse.Namespace) -> None:
             print(f"  {reports.short(n, 80)}")
 
 
+class Parser(argparse.ArgumentParser):
+    """Missing or unknown arguments exit with 1, as any expected failure."""
+
+    def error(self, message: str):
+        self.print_usage(sys.stderr)
+        self.exit(1, f"Error: {message}\n")
+
+
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="tracewheel")
+    p = Parser(prog="tracewheel")
     sub = p.add_subparsers(dest="command", required=True)
     yes = {"type": lambda v: v.lower() not in ("false", "0", "no"), "nargs": "?", "const": True, "default": True}
 
+    shared = {"help": "folder that the driver and all executors share, for intermediate tables; needed on a cluster"}
+
     def command(name: str, run, *flags: tuple[str, dict]) -> None:
         c = sub.add_parser(name)
         c.set_defaults(run=run)
-        for flag, how in flags:
+        for flag, how in (*flags, ("shared", shared)):
             c.add_argument(*((f"-{flag}", f"--{flag}") if flag[0] != "=" else (flag[1:],)), **how)
 
     need = {"required": True}
@@ -178,13 +189,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if argv and argv[0].startswith("-") and argv[0] not in ("-h", "--help"):
         argv.insert(0, "detect")
     a = parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("tracewheel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if spark is None:
+        build = SparkSession.builder.appName("tracewheel").config("spark.sql.session.timeZone", "UTC")
+        spark = (build.config("spark.checkpoint.dir", a.shared) if a.shared else build).getOrCreate()
     ship(spark)
     try:
-        a.run(spark, a)
+        with scratch(spark):
+            a.run(spark, a)
     except (Stop, ValueError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
+    except PythonException as e:  # a trace that does not parse
+        print(f"Error: {next((x for x in reversed(str(e).splitlines()) if 'Error' in x), e)}", file=sys.stderr)
+        return 1
     return 0
 
 

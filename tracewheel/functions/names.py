@@ -81,9 +81,15 @@ def normalized(name: Column) -> Column:
     return F.when(F.octet_length(name) > 7, F.regexp_replace(name, r"(?s)\A(triton(?:_.*)?)_[0-9]+\z", "$1")).otherwise(name)
 
 
+def cut_bytes(text: Column, most: int) -> Column:
+    """The first ``most`` bytes; a character that is cut in two becomes a replacement character."""
+    head = F.make_valid_utf8(F.substr(F.encode(text, "UTF-8"), F.lit(1), F.lit(most)).cast("string"))
+    return F.when(F.octet_length(text) > most, head).otherwise(text)
+
+
 def truncated(text: Column, most: int) -> Column:
     """At most ``most`` bytes, the last three of them dots if something is cut."""
-    return F.when(F.octet_length(text) > most, F.concat(F.left(text, F.lit(most - 3)), F.lit("..."))).otherwise(text)
+    return F.when(F.octet_length(text) > most, F.concat(cut_bytes(text, most - 3), F.lit("..."))).otherwise(text)
 
 
 def fixed(value: Column, decimals: int) -> Column:

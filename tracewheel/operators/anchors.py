@@ -32,11 +32,31 @@ def anchor_candidates(events: DataFrame, least: int = MIN_COUNT) -> DataFrame:
     return counts.where((F.col("cnt") >= least) & (F.col("cnt") <= div("n_events", 5)))
 
 
+#: Positions of a name are put in order within stretches of so many events.
+STRETCH = 1 << 20
+
+
+def with_previous(events: DataFrame, by: list[str]) -> DataFrame:
+    """``events`` with prev: the seq of the one before of the same ``by``, null at the first.
+
+    Two levels: events of one stretch are ordered by a task of their own, to which the last one
+    of the stretches before, a row a stretch, is added. So a name that holds most of a trace
+    does not meet in one task.
+    """
+    rows = events.withColumns({"_stretch": div("seq", STRETCH), "_carried": F.lit(False)})
+    earlier = Window.partitionBy(*by).orderBy("_stretch")
+    ends = rows.groupBy(*by, "_stretch").agg(F.max("seq").alias("_last"))
+    carried = ends.select(*by, "_stretch", F.lag("_last").over(earlier).alias("seq"), F.lit(True).alias("_carried")).where("seq is not null")
+    inside = Window.partitionBy(*by, "_stretch").orderBy("seq")
+    both = rows.unionByName(carried, allowMissingColumns=True)
+    return both.withColumn("prev", F.lag("seq").over(inside)).where("not _carried").drop("_stretch", "_carried")
+
+
 def anchor_gaps(events: DataFrame, names: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(trace_id, name, seq, gap) of the events of ``names``; gap is to the one before, null at the first."""
     by = by or ["trace_id", "name"]
-    before = Window.partitionBy(*by).orderBy("seq")
-    return events.join(names.select(*by), by).select(*by, "seq", (F.col("seq") - F.lag("seq").over(before)).alias("gap"))
+    chosen = events.join(names.select(*by), by).select(*by, "seq")
+    return with_previous(chosen, by).select(*by, "seq", (F.col("seq") - F.col("prev")).alias("gap"))
 
 
 def steady(first: Column, low: Column, high: Column, parts: int) -> Column:

@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewheel.functions.names import signature, truncated
-from tracewheel.operators.anchors import MIN_LENGTH, anchor_gaps, consistent_anchors, div, steady, trace_sizes
+from tracewheel.functions.names import cut_bytes, signature
+from tracewheel.operators.anchors import MIN_LENGTH, anchor_gaps, consistent_anchors, div, steady, trace_sizes, with_previous
 from tracewheel.operators.similarity import merge_similar
 from tracewheel.operators.stats import contiguous_instances
 from tracewheel.operators.verify import consecutive_repetitions, loose_repetitions, repetition_matches
@@ -19,8 +19,8 @@ SUB_CYCLE_ABOVE = 20
 
 def signed_events(events: DataFrame) -> DataFrame:
     """``events`` with sig, worked out once a distinct name."""
-    names = events.select("name").distinct().withColumn("sig", signature(F.col("name")))
-    return events.join(names, "name").select("trace_id", "seq", "name", "dur", "sig")
+    names = staged(events.select("name").distinct().withColumn("sig", signature(F.col("name"))), "names")
+    return small_join(events, names, ["name"]).select("trace_id", "seq", "name", "dur", "sig")
 
 
 def verified_anchors(events: DataFrame, least_reps: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -33,7 +33,7 @@ def verified_anchors(events: DataFrame, least_reps: int = 5) -> tuple[DataFrame,
     found = consistent_anchors(events).withColumnsRenamed({"name": "anchor"})
     order = Window.partitionBy("trace_id").orderBy(F.desc("cnt"), "anchor")
     found = staged(found.withColumn("cycle_id", F.concat_ws(":", "trace_id", F.format_string("%08d", F.row_number().over(order)))), "anchors")
-    reps = loose_repetitions(repetition_matches(events, found), found.withColumnRenamed("cnt", "expected"))
+    reps = staged(loose_repetitions(repetition_matches(events, found), found.withColumnRenamed("cnt", "expected")), "repetitions")
     counts = reps.groupBy("cycle_id").agg(F.count("*").alias("reps")).where(F.col("reps") >= least_reps)
     cycles = staged(found.join(counts, "cycle_id"), "cycles")
     instances = reps.join(cycles.select("cycle_id", "start", "cycle_len"), "cycle_id").select("trace_id", "cycle_id", (F.col("start") + F.col("rep") * F.col("cycle_len")).alias("inst"))
@@ -167,30 +167,38 @@ def kmer_rows(events: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def distinct_kmers(events: DataFrame, k: int = 3) -> DataFrame:
+    """(trace_id, kmers): how many different runs of ``k`` names each trace has."""
+    return kmer_rows(events, k).select("trace_id", "kmer").distinct().groupBy("trace_id").agg(F.count("*").alias("kmers"))
+
+
 def kmer_anchors(events: DataFrame, k: int = 3, min_length: int = MIN_LENGTH) -> DataFrame:
     """(trace_id, kmer, start, cycle_len, score): k-mers of which four fifths of the gaps are within a tenth of the first."""
-    rows = kmer_rows(events, k)
-    gaps = anchor_gaps(rows, rows.groupBy("trace_id", "kmer").count().where("count >= 5"), ["trace_id", "kmer"])
-    first = F.first("gap", ignorenulls=True).over(Window.partitionBy("trace_id", "kmer").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    near = F.abs(F.col("gap") - F.col("cycle_len")) <= F.greatest(F.lit(1).cast("long"), div("cycle_len", 10))
-    start = F.min("seq").over(Window.partitionBy("trace_id", "kmer"))
-    found = gaps.withColumns({"cycle_len": first, "start": start}).groupBy("trace_id", "kmer", "start", "cycle_len").agg(F.count("*").alias("p"), (F.sum((near & F.col("gap").isNotNull()).cast("long")) - 1).alias("score"))
+    rows, key = staged(kmer_rows(events, k), "kmer-rows"), ["trace_id", "kmer"]
+    gaps = staged(anchor_gaps(rows, rows.groupBy(*key).count().where("count >= 5"), key), "kmer-gaps")
+    firsts = gaps.groupBy(*key).agg(F.min("seq").alias("start"), F.min_by("gap", F.when(F.col("gap").isNotNull(), F.col("seq"))).alias("cycle_len"), F.count("*").alias("p"))
     big = trace_sizes(events).where(F.col("n_events") >= 2 * min_length + k).select("trace_id")
-    return found.join(big, "trace_id").where((F.col("cycle_len") >= min_length) & (F.col("score") >= 0.8 * (F.col("p") - 1))).select("trace_id", "kmer", "start", "cycle_len", "score")
+    firsts = staged(firsts.where(F.col("cycle_len") >= min_length).join(big, "trace_id"), "kmer-firsts")
+    near = F.abs(F.col("gap") - F.col("cycle_len")) <= F.greatest(F.lit(1).cast("long"), div("cycle_len", 10))
+    found = small_join(gaps.where("gap is not null"), firsts, key).groupBy(*key, "start", "cycle_len", "p").agg((F.sum(near.cast("long")) - 1).alias("score"))
+    return found.where(F.col("score") >= 0.8 * (F.col("p") - 1)).select("trace_id", "kmer", "start", "cycle_len", "score")
 
 
 def kmer_cycles(events: DataFrame, k: int = 3, min_length: int = MIN_LENGTH) -> DataFrame:
     """(trace_id, anchor, start, cycle_len, reps): k-mer cycles, the best-scored first to claim its range, like ones merged.
 
-    Ranges are claimed, and first-fit groups formed, in order, so each trace's candidates, at
-    most one a k-mer, are folded together; all that is counted over events is joined before.
+    Ranges are claimed by the thousand events, and a cycle whose first thousand is claimed is
+    left out; so of the verified candidates that start in one thousand only the best can count,
+    and a trace's fold reads a row a thousand events at most.
     """
     anchors = kmer_anchors(events, k, min_length).withColumn("cycle_id", F.concat_ws(":", "trace_id", "start", "cycle_len"))
-    anchors = staged(anchors.withColumn("anchor", truncated(F.get("kmer", 0), 50)), "kmers")
+    anchors = staged(anchors.withColumn("anchor", cut_bytes(F.get("kmer", 0), 50)), "kmers")
     reps = consecutive_repetitions(repetition_matches(events, anchors)).where("reps >= 5")
-    first = anchors.select("trace_id", "cycle_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.least(F.col("cycle_len"), F.lit(10)) - 1)).alias("seq"))
-    sigs = first.join(events, ["trace_id", "seq"]).groupBy("cycle_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", truncated(F.col("name"), 30).alias("n")))), lambda x: x["n"]), "|").alias("sig"))
-    rows = anchors.join(reps, ["trace_id", "cycle_id"]).join(sigs, "cycle_id").select("trace_id", "anchor", "start", "cycle_len", "score", "reps", "sig")
+    best = F.row_number().over(Window.partitionBy("trace_id", div("start", 1000)).orderBy(F.desc("score"), "start"))
+    good = staged(anchors.join(reps, ["trace_id", "cycle_id"]).withColumn("r", best).where("r = 1"), "kmer-cycles")
+    first = good.select("trace_id", "cycle_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.least(F.col("cycle_len"), F.lit(10)) - 1)).alias("seq"))
+    sigs = first.join(events, ["trace_id", "seq"]).groupBy("cycle_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", cut_bytes(F.col("name"), 30).alias("n")))), lambda x: x["n"]), "|").alias("sig"))
+    rows = good.join(sigs, "cycle_id").select("trace_id", "anchor", "start", "cycle_len", "score", "reps", "sig")
     return rows.groupBy("trace_id").applyInPandas(_fold_kmers, "trace_id long, anchor string, start long, cycle_len long, reps long")
 
 
@@ -226,36 +234,43 @@ def simple_cycles(events: DataFrame, min_length: int = MIN_LENGTH, batch: int =
     """(trace_id, start, cycle_len, reps): from each place on, the first repeat of a name that starts five repetitions.
 
     Scanning goes on behind each cycle found. Candidates are the distances of equal names next
-    to each other; they are verified in growing batches in order, so the driver sees a few rows
-    a step and the work stops at the first that holds.
+    to each other, in the order of the second. Round by round, the next candidates of every
+    trace that is not done are verified in one join, four times as many in each round that
+    finds nothing; rounds are as many as the trace of most cycles needs, whatever the number of
+    traces.
     """
-    spark = events.sparkSession
-    before = Window.partitionBy("trace_id", "name").orderBy("seq")
-    pairs = staged(events.withColumn("prev", F.lag("seq").over(before)).where(F.col("seq") - F.col("prev") >= min_length).select("trace_id", F.col("prev").alias("start"), F.col("seq").alias("i"), (F.col("seq") - F.col("prev")).alias("cycle_len")), "repeats")
-    out = []
-    for t in trace_sizes(events).orderBy("trace_id").collect():
-        own, mine, at = events.where(F.col("trace_id") == t["trace_id"]), pairs.where(F.col("trace_id") == t["trace_id"]), 0
-        while at < t["n_events"] - 2 * min_length:
-            seen, size, found = -1, batch, None
-            while found is None:
-                rows = mine.where((F.col("start") >= at) & (F.col("i") > seen)).orderBy("i").limit(size).collect()
-                if not rows:
-                    break
-                tried = spark.createDataFrame([(r["trace_id"], str(r["i"]), r["start"], r["cycle_len"]) for r in rows], "trace_id long, cycle_id string, start long, cycle_len long")
-                good = {r["cycle_id"]: r["reps"] for r in consecutive_repetitions(repetition_matches(own, tried)).where("reps >= 5").collect()}
-                found = next(((r["start"], r["cycle_len"], good[str(r["i"])]) for r in rows if str(r["i"]) in good), None)
-                seen, size = rows[-1]["i"], size * 4
-            if found is None:
-                break
-            out.append((t["trace_id"], *found))
-            at = found[0] + found[1] * found[2]
-    return spark.createDataFrame(out, "trace_id long, start long, cycle_len long, reps long")
+    pairs = with_previous(events, ["trace_id", "name"]).where(F.col("seq") - F.col("prev") >= min_length)
+    pairs = staged(pairs.select("trace_id", F.col("prev").alias("start"), F.col("seq").alias("i"), (F.col("seq") - F.col("prev")).alias("cycle_len")), "repeats")
+    state = staged(trace_sizes(events).select("trace_id", (F.col("n_events") - 2 * min_length).alias("most"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("seen"), F.lit(batch).cast("long").alias("size")), "scan")
+    done: list[DataFrame] = []
+    while True:
+        live = state.where("at < most")
+        ahead = small_join(pairs, live, ["trace_id"], (F.col("start") >= F.col("at")) & (F.col("i") > F.col("seen")))
+        order = Window.partitionBy("trace_id").orderBy("i")
+        tried = staged(ahead.withColumn("r", F.row_number().over(order)).where("r <= size").withColumn("cycle_id", F.concat_ws(":", "trace_id", "i")), "tried")
+        if not tried.limit(1).count():
+            break
+        good = consecutive_repetitions(repetition_matches(events, tried)).where("reps >= 5")
+        found = tried.join(good, ["trace_id", "cycle_id"]).groupBy("trace_id").agg(F.min(F.struct("i", "start", "cycle_len", "reps")).alias("f"))
+        found = staged(found.select("trace_id", "f.start", "f.cycle_len", "f.reps"), "found")
+        done.append(found)
+        tops = tried.groupBy("trace_id").agg(F.max("i").alias("top"))
+        after = F.col("start") + F.col("cycle_len") * F.col("reps")
+        moved = live.join(tops, "trace_id").join(found, "trace_id", "left")
+        hit = F.col("reps").isNotNull()
+        state = staged(moved.select("trace_id", "most", F.when(hit, after).otherwise(F.col("at")).alias("at"), F.when(hit, F.lit(-1).cast("long")).otherwise(F.col("top")).alias("seen"), F.when(hit, F.lit(batch).cast("long")).otherwise(F.col("size") * 4).alias("size")), "scan")
+    out = events.sparkSession.createDataFrame([], "trace_id long, start long, cycle_len long, reps long")
+    for found in done:
+        out = out.unionByName(found)
+    return out
 
 
 def first_repeats(events: DataFrame) -> DataFrame:
     """(trace_id, first_repeat): the first place whose name has stood before."""
-    nth = F.row_number().over(Window.partitionBy("trace_id", "name").orderBy("seq"))
-    return events.withColumn("nth", nth).where("nth = 2").groupBy("trace_id").agg(F.min("seq").alias("first_repeat"))
+    # The second place of a name is the least that is not its first, so counts of each task suffice.
+    firsts = staged(events.groupBy("trace_id", "name").agg(F.min("seq").alias("first")), "firsts")
+    later = small_join(events, firsts, ["trace_id", "name"]).where("seq > first")
+    return later.groupBy("trace_id").agg(F.min("seq").alias("first_repeat"))
 
 
 def exhaustive_cycle(events: DataFrame, bounds: DataFrame) -> DataFrame:

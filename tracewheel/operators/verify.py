@@ -6,22 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewheel.operators.anchors import div
-from tracewheel.storage import small_join
+from tracewheel.storage import SMALL_ROWS, small_join
+
+#: Template rows (a name each) that are broadcast at most.
+TEMPLATE_ROWS = 10 * SMALL_ROWS
 
 
 def repetition_matches(events: DataFrame, cycles: DataFrame, column: str = "name") -> DataFrame:
     """(trace_id, cycle_id, rep, matched, cycle_len) of every complete repetition; rep 0 is the template.
 
-    ``cycles``: (trace_id, cycle_id, start, cycle_len). Every event meets the cycles of its trace
-    that start before it; its place in them gives repetition and offset, and an equi-join on
-    (cycle, offset) meets it with the template.
+    ``cycles``: (trace_id, cycle_id, start, cycle_len). The templates, one row a position of a
+    cycle, are broadcast behind a check of their number, and so are the cycles. Every event
+    meets the cycles of its trace that start before it and, by its offset, their templates,
+    where it lies; matches are counted there, and only counts a repetition are shuffled.
     """
     spans = cycles.select("trace_id", "cycle_id", "start", "cycle_len")
-    rows = small_join(events.select("trace_id", "seq", F.col(column).alias("what")), spans, ["trace_id"], F.col("seq") >= F.col("start"))
+    what = events.select("trace_id", "seq", F.col(column).alias("what"))
+    places = spans.select("trace_id", "cycle_id", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("cycle_len") - 1)).alias("off", "seq"))
+    template = places.join(what, ["trace_id", "seq"]).select("cycle_id", F.col("off").cast("long").alias("off"), F.col("what").alias("first"))
+    rows = small_join(what, spans, ["trace_id"], F.col("seq") >= F.col("start"))
     at = F.col("seq") - F.col("start")
     rows = rows.select("trace_id", "cycle_id", "cycle_len", "what", div(at, F.col("cycle_len")).alias("rep"), F.pmod(at, F.col("cycle_len")).alias("off"))
-    template = rows.where("rep = 0").select("cycle_id", "off", F.col("what").alias("first"))
-    same = rows.join(template, ["cycle_id", "off"]).groupBy("trace_id", "cycle_id", "rep", "cycle_len").agg(F.count("*").alias("present"), F.sum((F.col("what") == F.col("first")).cast("long")).alias("matched"))
+    size = spans.agg(F.coalesce(F.sum("cycle_len"), F.lit(0))).collect()[0][0]
+    met = rows.join(F.broadcast(template) if size <= TEMPLATE_ROWS else template, ["cycle_id", "off"])
+    same = met.groupBy("trace_id", "cycle_id", "rep", "cycle_len").agg(F.count("*").alias("present"), F.sum((F.col("what") == F.col("first")).cast("long")).alias("matched"))
     return same.where("present = cycle_len").drop("present")
 
 

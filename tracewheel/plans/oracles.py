@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from tracewheel.functions.names import CATEGORIES, CONFIG_PATTERNS, CONFIG_SUFFIXES, OTHER
 from tracewheel.plans.queries import BASELINE, CHANGED, EDGE_NAMES
+from tracewheel.plans.traces import FILE_EVENTS
+from tracewheel.sources.cycle_csv import HEADER, LABELS
+from tracewheel.sources.reports import COLUMNS
 
 
 def _quoted(text: str) -> str:
@@ -50,22 +53,19 @@ r AS (SELECT s.name AS anchor, s.start, s.cycle_len, s.cnt, (e.seq - s.start) //
 t AS (SELECT anchor, off, name AS first FROM r WHERE rep = 0),
 q AS MATERIALIZED (SELECT anchor, start, cycle_len, cnt, rep, count(*) AS present, count(*) FILTER (WHERE name = first) AS matched FROM r JOIN t USING (anchor, off) GROUP BY ALL),
 y AS MATERIALIZED (SELECT anchor, start, cycle_len, rep, start + rep * cycle_len AS inst, cnt FROM q WHERE present = cycle_len AND rep < cnt AND matched >= 0.95 * cycle_len),
-v AS MATERIALIZED (SELECT anchor, start, cycle_len, any_value(cnt) AS cnt, count(*) AS reps FROM y GROUP BY ALL HAVING count(*) >= 5)"""
-REPS = REPS.replace("SELECT anchor, start, cycle_len, any_value(cnt) AS cnt, count(*) AS reps FROM y GROUP BY ALL", "SELECT anchor, start, cycle_len, any_value(cnt) AS cnt, count(*) AS reps FROM y GROUP BY anchor, start, cycle_len")
+v AS MATERIALIZED (SELECT anchor, start, cycle_len, any_value(cnt) AS cnt, count(*) AS reps FROM y GROUP BY anchor, start, cycle_len HAVING count(*) >= 5)"""
 
 OUTER = """
 o AS MATERIALIZED (SELECT * FROM v WHERE cnt >= 6 ORDER BY reps DESC, cnt DESC, anchor LIMIT 1),
-i AS (SELECT inst FROM y WHERE anchor = (SELECT anchor FROM o)),
-p AS (SELECT e.seq - i.inst AS index, e.name, e.dur, i.inst FROM i, o JOIN e ON e.seq >= i.inst AND e.seq < i.inst + o.cycle_len),
+i AS MATERIALIZED (SELECT inst FROM y WHERE anchor = (SELECT anchor FROM o)),
+p AS (SELECT e.seq - i.inst AS index, e.name, e.dur, i.inst FROM (SELECT inst, unnest(range(0, (SELECT cycle_len FROM o))) AS off FROM i) AS i JOIN e ON e.seq = i.inst + i.off),
 z AS MATERIALIZED (SELECT CAST(index AS BIGINT) AS index, arg_min(name, inst) AS name, avg(dur) AS avg_dur, min(dur) AS min_dur, max(dur) AS max_dur, stddev_pop(dur) AS stddev, count(*) AS cnt, sum(dur) AS total_dur FROM p GROUP BY index),
 h AS (SELECT cycle_len, reps, (SELECT sum(total_dur) FROM z) / reps AS avg_cycle_time, (SELECT sum(total_dur) FROM z) AS total_time FROM o)"""
-OUTER = OUTER.replace("i AS (SELECT inst", "i AS MATERIALIZED (SELECT inst").replace("FROM i, o JOIN e ON e.seq >= i.inst AND e.seq < i.inst + o.cycle_len", "FROM (SELECT inst, unnest(range(0, (SELECT cycle_len FROM o))) AS off FROM i) AS i JOIN e ON e.seq = i.inst + i.off")
 
 SAMPLE = """
 i2 AS (SELECT start + r * cycle_len AS inst, cycle_len FROM (SELECT start, cycle_len, unnest(range(0, reps)) AS r FROM o)),
 p2 AS (SELECT off AS index, e.name, e.dur, inst FROM (SELECT inst, unnest(range(0, cycle_len)) AS off FROM i2) AS x JOIN e ON e.seq = inst + off),
-z2 AS (SELECT CAST(index AS BIGINT) AS index, arg_min(name, inst) AS name, avg(dur) AS avg_dur, min(dur) AS min_dur, max(dur) AS max_dur, coalesce(stddev_samp(dur), 0) AS stddev, count(*) AS cnt FROM p2 GROUP BY off)"""
-SAMPLE = SAMPLE.replace("GROUP BY off)", "GROUP BY index)")
+z2 AS (SELECT CAST(index AS BIGINT) AS index, arg_min(name, inst) AS name, avg(dur) AS avg_dur, min(dur) AS min_dur, max(dur) AS max_dur, coalesce(stddev_samp(dur), 0) AS stddev, count(*) AS cnt FROM p2 GROUP BY index)"""
 
 SUBS = (
     _signature("e", "sg")
@@ -88,7 +88,7 @@ pt AS (SELECT v.anchor, v.cnt, v.start + coalesce(sub_start, 0) AS start, coales
 pg AS (SELECT anchor, string_agg(sig, '|' ORDER BY off) AS signature FROM (SELECT anchor, start, unnest(range(0, least(cycle_len, 10))) AS off FROM pt) JOIN e ON e.seq = start + off JOIN sg USING (name) GROUP BY anchor),
 pa AS (SELECT pt.*, CASE WHEN start + cycle_len <= n THEN signature ELSE '' END AS signature, last + cycle_len AS end_pos, (start + last + cycle_len) / 2.0 AS center FROM pt JOIN pg USING (anchor), n),
 gr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY reps DESC, cnt DESC, anchor) AS rn FROM pa) WHERE rn = 1),
-od AS MATERIALIZED (SELECT row_number() OVER (ORDER BY center, start, cycle_len, signature) AS k, start, cycle_len, CAST(reps AS BIGINT) AS reps, signature, end_pos, center FROM gr),
+od AS MATERIALIZED (SELECT row_number() OVER (ORDER BY center, start, cycle_len, signature) AS k, anchor, start, cycle_len, CAST(reps AS BIGINT) AS reps, signature, end_pos, center FROM gr),
 wt AS (SELECT k, sig, sum(dur) AS d FROM (SELECT k, start, unnest(range(0, cycle_len)) AS off FROM od) JOIN e ON e.seq = start + off JOIN sg USING (name) GROUP BY k, sig),
 ww AS MATERIALIZED (SELECT k, sig, d / sum(d) OVER (PARTITION BY k) * 100 AS w FROM wt),
 lo AS (SELECT a.k AS l, b.k AS r, sum(least(a.w, b.w)) AS low FROM ww a JOIN ww b ON a.sig = b.sig AND a.k <> b.k GROUP BY a.k, b.k),
@@ -147,11 +147,151 @@ kf AS (SELECT kmer, arg_min(gap, seq) AS cycle_len, min(seq) AS start, count(*)
 ka AS MATERIALIZED (SELECT kf.kmer, start, cycle_len, count(*) FILTER (WHERE abs(gap - cycle_len) <= greatest(1, cycle_len // 10)) - 1 AS score, any_value(p) AS p FROM kf JOIN kg USING (kmer) WHERE cycle_len >= 10 GROUP BY kf.kmer, start, cycle_len
        HAVING count(*) FILTER (WHERE abs(gap - cycle_len) <= greatest(1, cycle_len // 10)) - 1 >= 0.8 * (any_value(p) - 1))"""
 
+# Candidates (cid, start, len) of the CTE ``source``: the first repetition that does not match, or one past the last.
+def _consecutive(source: str, out: str, ratio: str) -> str:
+    return f"""
+{out}_t AS (SELECT cid, off, e.name AS first FROM (SELECT cid, start, unnest(range(0, len)) AS off FROM {source}) JOIN e ON e.seq = start + off),
+{out}_q AS (SELECT cid, len, rep, count(*) AS present, count(*) FILTER (WHERE name = first) AS matched
+        FROM (SELECT cid, len, (e.seq - start) // len AS rep, (e.seq - start) % len AS off, e.name FROM {source} JOIN e ON e.seq >= start) JOIN {out}_t USING (cid, off) GROUP BY cid, len, rep),
+{out} AS MATERIALIZED (SELECT cid, coalesce(min(rep) FILTER (WHERE matched < {ratio} * len), max(rep) + 1) AS reps FROM {out}_q WHERE present = len GROUP BY cid)"""
+
+
+# Candidates claim thousands of events in order of score; then each joins the first leader like it.
+KMER_FOLD = (
+    KMERS
+    + """,
+kv AS (SELECT kmer AS cid, start, cycle_len AS len FROM ka),"""
+    + _consecutive("kv", "kr", "0.9")
+    + """,
+kc AS MATERIALIZED (SELECT ka.start, ka.cycle_len, reps, score, e.name, row_number() OVER (ORDER BY score DESC, ka.start) AS k FROM ka JOIN kr ON cid = kmer JOIN e ON e.seq = ka.start WHERE reps >= 5),
+cl AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, false AS kept
+       UNION ALL SELECT kc.k, CASE WHEN list_contains(used, start // 1000) THEN used ELSE list_concat(used, list_transform(range(0, (cycle_len * reps + 999) // 1000), lambda j: (start + j * 1000) // 1000)) END, NOT list_contains(used, start // 1000)
+       FROM cl JOIN kc ON kc.k = cl.k + 1),
+ko AS MATERIALIZED (SELECT kc.* EXCLUDE (k), row_number() OVER (ORDER BY start) AS k FROM kc JOIN cl ON cl.k = kc.k WHERE kept),
+kp AS MATERIALIZED (SELECT k, list(left(e.name, 30)) AS parts FROM (SELECT k, unnest(range(start, start + least(cycle_len, 10))) AS seq FROM ko) JOIN e USING (seq) GROUP BY k),
+kn AS MATERIALIZED (SELECT b.k, list(a.k) AS near FROM ko a JOIN kp x ON x.k = a.k JOIN ko b ON a.k < b.k JOIN kp y ON y.k = b.k
+       WHERE abs(b.cycle_len - a.cycle_len) <= greatest(a.cycle_len // 5, 2) AND len(list_filter(x.parts, lambda p: list_contains(y.parts, p))) >= greatest(1, len(x.parts) * 8 // 10) GROUP BY b.k),
+kd AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders, CAST(0 AS BIGINT) AS leader
+       UNION ALL SELECT ko.k, CASE WHEN len(list_filter(leaders, lambda x: list_contains(coalesce(near, []), x))) > 0 THEN leaders ELSE list_append(leaders, ko.k) END,
+                        coalesce(list_filter(leaders, lambda x: list_contains(coalesce(near, []), x))[1], ko.k)
+       FROM kd JOIN ko ON ko.k = kd.k + 1 LEFT JOIN kn ON kn.k = ko.k),
+kb1 AS (SELECT ko.*, row_number() OVER (PARTITION BY leader ORDER BY reps DESC, ko.k) AS rn FROM ko JOIN kd ON kd.k = ko.k)"""
+)
+
+# The first four repetitions tell which candidates can count; the scan then takes the next of them and skips its cycle.
+SIMPLE = """
+ix AS MATERIALIZED (SELECT seq, dense_rank() OVER (ORDER BY name) AS c FROM e),
+nl AS MATERIALIZED (SELECT list(c ORDER BY seq) AS c FROM ix),
+sp AS (SELECT prev AS start, seq AS i, seq - prev AS len FROM (SELECT seq, lag(seq) OVER (PARTITION BY c ORDER BY seq) AS prev FROM ix) WHERE seq - prev >= 10),
+sx AS (SELECT start, i, len, unnest(range(0, len)) AS off FROM sp WHERE start + 5 * len <= (SELECT n FROM n)),
+sm AS (SELECT start, i, len, count(*) FILTER (WHERE a.c = b.c) AS m1, count(*) FILTER (WHERE a.c = d.c) AS m2, count(*) FILTER (WHERE a.c = f.c) AS m3, count(*) FILTER (WHERE a.c = g.c) AS m4
+       FROM sx JOIN ix a ON a.seq = start + off JOIN ix b ON b.seq = start + off + len JOIN ix d ON d.seq = start + off + 2 * len JOIN ix f ON f.seq = start + off + 3 * len JOIN ix g ON g.seq = start + off + 4 * len GROUP BY start, i, len),
+sv AS MATERIALIZED (SELECT start, i, len FROM sm WHERE least(m1, m2, m3, m4) >= 0.9 * len),
+sr AS (SELECT CAST(0 AS BIGINT) AS at, CAST(NULL AS BIGINT) AS start, CAST(NULL AS BIGINT) AS len, CAST(NULL AS BIGINT) AS reps
+       UNION ALL SELECT f.start + f.len * r, f.start, f.len, r FROM (
+         SELECT f, coalesce(list_position(list_transform(range(1, (len(c) - f.start) // f.len), lambda k: list_sum(list_transform(range(1, f.len + 1), lambda j: CASE WHEN c[f.start + j] = c[f.start + k * f.len + j] THEN 1 ELSE 0 END)) >= 0.9 * f.len), false), (len(c) - f.start) // f.len) AS r
+         FROM (SELECT arg_min({'start': sv.start, 'len': sv.len}, sv.i) AS f FROM sr JOIN sv ON sv.start >= sr.at, n WHERE sr.at < n.n - 20 GROUP BY sr.at), nl))"""
+
+# Lengths around the first repeated name; a place where a name differs from the one a length later breaks a run.
+EXHAUSTIVE = (
+    """
+fr AS (SELECT min(seq) AS f FROM (SELECT seq, row_number() OVER (PARTITION BY name ORDER BY seq) AS r FROM e) WHERE r = 2),
+el AS (SELECT unnest(range(greatest(10, f - 100), least(n // 2, f + 1000) + 1)) AS len, n FROM fr, n WHERE n >= 20),
+ew AS (SELECT len, el.n, x FROM (SELECT len, n, unnest(range(0, 2 * len)) AS x FROM el) AS el LEFT JOIN e a ON a.seq = x LEFT JOIN e b ON b.seq = x + len WHERE b.name IS NULL OR a.name <> b.name
+       UNION ALL SELECT len, n, 2 * len FROM el),
+ef AS (SELECT len, n, x, coalesce(lag(x) OVER (PARTITION BY len ORDER BY x) + 1, 0) AS start FROM ew),
+eb AS (SELECT 'x' AS cid, start, len FROM ef WHERE x - start >= len AND start < least(len, n // 4) ORDER BY len, start LIMIT 1),"""
+    + _consecutive("eb", "er", "1.0")
+)
+
+PROBE = (
+    """
+pn AS (SELECT name, count(*) AS c, min(seq) AS start FROM e, n WHERE n.n >= 30 GROUP BY name HAVING count(*) >= 5),
+pg0 AS (SELECT name, gap FROM (SELECT name, seq - lag(seq) OVER (PARTITION BY name ORDER BY seq) AS gap FROM e) JOIN pn USING (name) WHERE gap BETWEEN 10 AND 5000 GROUP BY name, gap HAVING count(*) >= 4),
+pc AS MATERIALIZED (SELECT pg0.name || '|' || gap AS cid, pg0.name, start, gap AS len FROM pg0 JOIN pn USING (name), n WHERE start + 3 * gap <= n.n),"""
+    + _consecutive("pc", "pr", "0.9")
+)
+
+# The table of the best rotation, then the way back from its last cell.
+ALIGN = """
+bs AS MATERIALIZED (SELECT rt.pair_id, r, rt.a, rt.b FROM rt JOIN le USING (pair_id, r) WHERE rn = 1),
+an AS MATERIALIZED (SELECT pair_id, list_concat(an[r + 1:], an[:r]) AS an, bn FROM (SELECT pair_id, list(name ORDER BY pos) FILTER (WHERE side = 'baseline') AS an, list(name ORDER BY pos) FILTER (WHERE side = 'new') AS bn FROM kk GROUP BY pair_id) JOIN bs USING (pair_id)),
+lt AS MATERIALIZED (SELECT lc.pair_id, i, row FROM lc JOIN bs ON bs.pair_id = lc.pair_id AND bs.r = lc.r),
+bt AS (SELECT pair_id, CAST(len(a) AS BIGINT) AS i, CAST(len(b) AS BIGINT) AS j, CAST(0 AS BIGINT) AS step, 0 AS di, 0 AS dj FROM bs
+       UNION ALL SELECT pair_id, i - di, j - dj, step + 1, di, dj FROM (
+         SELECT bt.pair_id, bt.i, bt.j, step, CASE WHEN bt.i > 0 AND bt.j > 0 AND a[bt.i] = b[bt.j] THEN 1 WHEN bt.j > 0 AND (bt.i = 0 OR own.row[bt.j] >= up.row[bt.j + 1]) THEN 0 ELSE 1 END AS di,
+                CASE WHEN bt.j > 0 AND (bt.i = 0 OR a[bt.i] = b[bt.j] OR own.row[bt.j] >= up.row[bt.j + 1]) THEN 1 ELSE 0 END AS dj
+         FROM bt JOIN bs ON bs.pair_id = bt.pair_id JOIN lt own ON own.pair_id = bt.pair_id AND own.i = bt.i LEFT JOIN lt up ON up.pair_id = bt.pair_id AND up.i = bt.i - 1 WHERE bt.i > 0 OR bt.j > 0)),
+al AS (SELECT bt.pair_id, row_number() OVER (PARTITION BY bt.pair_id ORDER BY step DESC) - 1 AS ord, CASE WHEN di = 1 THEN an[i + 1] ELSE '' END AS baseline, CASE WHEN dj = 1 THEN bn[j + 1] ELSE '.' END AS new,
+              CASE WHEN di = 0 THEN 'new_only' WHEN dj = 0 THEN 'removed' WHEN an[i + 1] = bn[j + 1] THEN 'exact' ELSE 'similar' END AS match_type, CASE WHEN dj = 1 THEN b[j + 1] ELSE a[i + 1] END AS sig,
+              CASE WHEN di = 1 THEN (i + r) % len(a) END AS base_at, CASE WHEN dj = 1 THEN j END AS new_at
+       FROM bt JOIN an ON an.pair_id = bt.pair_id JOIN bs ON bs.pair_id = bt.pair_id WHERE step > 0)"""
+
+PAIRS = """
+so AS (SELECT l, r, sim, row_number() OVER (ORDER BY sim DESC, l, r) AS k FROM ks WHERE sim >= 0.2),
+sg2 AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ls, CAST([] AS BIGINT[]) AS rs, false AS kept
+       UNION ALL SELECT so.k, CASE WHEN free THEN list_append(ls, l) ELSE ls END, CASE WHEN free THEN list_append(rs, r) ELSE rs END, free FROM (
+         SELECT so.k, so.l, so.r, ls, rs, NOT list_contains(ls, so.l) AND NOT list_contains(rs, so.r) AS free FROM sg2 JOIN so ON so.k = sg2.k + 1) AS so)"""
+
+PATTERN_STATS = """
+pi AS (SELECT k, cycle_len, reps, inst + unnest(offs) AS inst FROM (SELECT pp.k, pp.cycle_len, pp.reps, y.inst, coalesce(offsets, [CAST(0 AS BIGINT)]) AS offs FROM pp JOIN y ON y.anchor = pp.anchor LEFT JOIN sb ON sb.anchor = pp.anchor)),
+ps AS (SELECT k, any_value(reps) AS reps, CAST(off AS BIGINT) AS index, arg_min(name, inst) AS name, avg(dur) AS avg_dur, min(dur) AS min_dur, max(dur) AS max_dur, stddev_pop(dur) AS stddev, count(*) AS cnt, sum(dur) AS total_dur
+       FROM (SELECT k, reps, inst, unnest(range(0, cycle_len)) AS off FROM pi) JOIN e ON e.seq = inst + off GROUP BY k, off),
+pt2 AS (SELECT k, any_value(reps) AS reps, sum(total_dur) / any_value(reps) AS mean FROM ps GROUP BY k),
+pk AS (SELECT k, CAST(row_number() OVER (ORDER BY center, start, cycle_len, signature) AS INT) AS cycle_no FROM pp)"""
+
+_FIELD = "CASE WHEN contains({0}, ',') OR contains({0}, '\"') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+_SHARE = "avg_dur / avg_cycle_time * 100"
+CSV_LINES = f"""
+ln AS (SELECT CAST(1 AS BIGINT) AS line_no, '{LABELS[0]}' AS line UNION ALL SELECT 2, '{LABELS[1]},' || reps FROM h UNION ALL SELECT 3, '{LABELS[2]},' || cycle_len FROM h
+       UNION ALL SELECT 4, '{LABELS[3]},' || printf('%.3f', avg_cycle_time) FROM h UNION ALL SELECT 5, '{LABELS[4]},' || printf('%.3f', total_time) FROM h UNION ALL SELECT 6, '' UNION ALL SELECT 7, '{",".join(HEADER)}'
+       UNION ALL SELECT 8 + index, concat_ws(',', index, {_FIELD.format("name")}, printf('%.3f', avg_dur), printf('%.3f', min_dur), printf('%.3f', max_dur), printf('%.3f', stddev), cnt, printf('%.4f', {_SHARE})) FROM z, h)"""
+
+COMPARE_LINES = f"""
+m2 AS (SELECT * FROM mo WHERE pair_id = 2),
+ln AS (SELECT CAST(1 AS BIGINT) AS line_no, 'eager_kernel,compiled_kernel,duration_us,match_type' AS line
+       UNION ALL SELECT 2, concat('Total (', count(base_pos), ' eager kernels),(', count(new_pos), ' compiled kernels),', printf('%.3f', sum(new_avg)), ',') FROM m2
+       UNION ALL SELECT 3 + ord, concat_ws(',', {_FIELD.format("baseline")}, {_FIELD.format("new")}, CASE WHEN new = '.' THEN '' ELSE printf('%.3f', new_avg) END, match_type) FROM m2)"""
+
+# The short cycles: minimum, maximum and deviation of every kernel are 0.5, 9 and 0.1.
+CELLS = f"""
+m1 AS (SELECT ord + 3 AS row, *, base_avg > 0 AS hb, new <> '.' AND new_avg > 0 AS hn,
+              CASE WHEN match_type = 'new_only' THEN 'neutral' WHEN match_type = 'removed' THEN 'improved' WHEN change_pct < -5 THEN 'improved' WHEN change_pct > 5 THEN 'regressed' ELSE 'neutral' END AS cls FROM mo WHERE pair_id = 1),
+cc AS (SELECT CAST(1 AS BIGINT) AS row, col, value, 'header' AS style FROM (VALUES {", ".join(f"('{chr(65 + k)}', {_quoted(h)})" for k, (h, _) in enumerate(COLUMNS))}) AS v(col, value)
+       UNION ALL SELECT 2, 'A', concat('Baseline: ', count(base_pos), ' kernels × 3 iters, 21.0 µs/cycle'), '' FROM m1
+       UNION ALL SELECT 2, 'F', concat('New: ', count(new_pos), ' kernels × 4 iters, 20.0 µs/cycle'), '' FROM m1
+       UNION ALL SELECT 2, 'G', printf('%.3f', sum(new_avg)), '' FROM m1 UNION ALL SELECT 2, 'K', '-4.800', 'neutral'
+       UNION ALL SELECT row, u.col, u.value, CASE WHEN u.col = 'K' THEN cls ELSE match_type END FROM (SELECT row, match_type, cls, unnest([
+         {{'col': 'A', 'value': baseline}}, {{'col': 'B', 'value': CASE WHEN hb THEN printf('%.3f', base_avg) END}}, {{'col': 'C', 'value': CASE WHEN hb THEN '0.500' END}}, {{'col': 'D', 'value': CASE WHEN hb THEN '9.000' END}}, {{'col': 'E', 'value': CASE WHEN hb THEN '0.100' END}},
+         {{'col': 'F', 'value': new}}, {{'col': 'G', 'value': CASE WHEN hn THEN printf('%.3f', new_avg) END}}, {{'col': 'H', 'value': CASE WHEN hn THEN '0.500' END}}, {{'col': 'I', 'value': CASE WHEN hn THEN '9.000' END}}, {{'col': 'J', 'value': CASE WHEN hn THEN '0.100' END}},
+         {{'col': 'K', 'value': CASE WHEN change_pct IS NOT NULL THEN printf('%.3f', round(change_pct, 1)) WHEN match_type = 'new_only' THEN 'NEW' ELSE 'REMOVED' END}}, {{'col': 'L', 'value': match_type}}]) AS u FROM m1))"""
+
 CASES = " ".join(f"WHEN contains(lower(name), '{part}') THEN '{kind}'" for part, kind in CATEGORIES)
 CATEGORY = f"CASE {CASES} ELSE '{OTHER}' END"
 PATTERN = "start, cycle_len, reps, signature, end_pos, center"
 
 
+# The positions of the standard cycle of the trace ``source``, which must not be named e.
+def _standard(source: str) -> str:
+    return f"""(WITH e AS (SELECT * FROM {source}), n AS (SELECT count(*) AS n FROM e),{ANCHORS},{REPS},{OUTER},{SUBS},
+st AS (SELECT y.inst + unnest(coalesce(offsets, [CAST(0 AS BIGINT)])) AS inst, coalesce(sub_len, o.cycle_len) AS len FROM o JOIN y ON y.anchor = o.anchor LEFT JOIN sb ON sb.anchor = o.anchor)
+SELECT CAST(off AS BIGINT) AS pos, arg_min(name, inst) AS name, avg(dur) AS avg_dur FROM (SELECT inst, unnest(range(0, len)) AS off FROM st) JOIN e ON e.seq = inst + off GROUP BY off)"""
+
+
+TRACES_COMPARED = (
+    f"""
+whole AS MATERIALIZED (SELECT * FROM e), later AS MATERIALIZED (SELECT seq - 50 AS seq, name, dur FROM e WHERE seq >= 50),
+ck AS MATERIALIZED (SELECT CAST(0 AS BIGINT) AS pair_id, 'baseline' AS side, * FROM {_standard("whole")} UNION ALL SELECT CAST(0 AS BIGINT), 'new', * FROM {_standard("later")}),
+"""
+    + _signature("ck", "cs")
+    + """,
+kk AS MATERIALIZED (SELECT ck.*, sig FROM ck JOIN cs USING (name)),"""
+    + ROTATIONS
+    + ","
+    + ALIGN
+)
+
+
 def _with(ctes: list[str], select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{','.join(ctes)}\n{select}"
 
@@ -192,6 +332,7 @@ ORACLES: dict[str, str] = {
         True,
     ),
     "no_patterns": _with(["e AS (SELECT event_id AS seq, event_type AS name, value AS dur FROM events), n AS (SELECT count(*) AS n FROM e)", ANCHORS], "SELECT name, cnt, start, cycle_len FROM s"),
+    "distinct_kmers": _with([TRACE, KMERS], "SELECT count(DISTINCT kmer) AS kmers FROM k3"),
     "kmer_anchors": _with([TRACE, KMERS], "SELECT kmer, start, cycle_len, score FROM ka"),
     "first_repeat": _with([TRACE], "SELECT min(seq) AS first_repeat FROM (SELECT seq, row_number() OVER (PARTITION BY name ORDER BY seq) AS r FROM e) WHERE r = 2"),
     "quick_verify": _with(_REPS, "SELECT anchor AS name, start, cycle_len, coalesce(min(rep) FILTER (WHERE matched < 0.9 * cycle_len), max(rep) + 1) AS reps FROM q WHERE present = cycle_len GROUP BY anchor, start, cycle_len"),
@@ -204,7 +345,29 @@ ORACLES: dict[str, str] = {
     ),
     "compare_totals": _with(_GREEDY, "SELECT pair_id, count(base_pos) AS base_kernels, count(new_pos) AS new_kernels, round(sum(base_avg), 3) AS base_time, round(sum(new_avg), 3) AS new_time FROM mo GROUP BY pair_id", True),
     "top_matches": _with(_GREEDY, 'SELECT * FROM (SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY new_avg DESC, ord) AS INT) AS "rank", new, round(new_avg, 3) AS new_avg FROM mo WHERE new_avg > 0) WHERE "rank" <= 10', True),
+    "kmer_cycles": _with([TRACE, KMER_FOLD], "SELECT left(name, 50) AS anchor, start, cycle_len, reps FROM kb1 WHERE rn = 1", True),
+    "simple_cycles": _with([TRACE, SIMPLE], "SELECT start, len AS cycle_len, reps FROM sr WHERE start IS NOT NULL", True),
+    "bruteforce_cycle": _with([TRACE, EXHAUSTIVE], "SELECT start, len AS cycle_len, reps FROM eb JOIN er USING (cid)"),
+    "quick_probe": _with([TRACE, PROBE], "SELECT name, start, len AS cycle_len, reps FROM pc JOIN pr USING (cid) WHERE reps >= 5 ORDER BY name, len LIMIT 1"),
+    "standard_cycle": _with(
+        [*_REPS, OUTER, SUBS, EXHAUSTIVE],
+        "SELECT o.start + coalesce(sub_start, 0) AS start, coalesce(sub_len, o.cycle_len) AS cycle_len, CAST(o.reps * coalesce(len(offsets), 1) AS BIGINT) AS reps, CASE WHEN sub_len IS NULL THEN 'outer' ELSE 'sub' END AS kind FROM o LEFT JOIN sb USING (anchor) UNION ALL SELECT start, len, reps, 'exhaustive' FROM eb JOIN er USING (cid) WHERE NOT EXISTS (SELECT 1 FROM o)",
+    ),
+    "pattern_stats": _with([*_GROUPS, PATTERN_STATS], f"SELECT index, name, {_ROWS}, round(avg_dur / mean * 100, 4) AS pct_of_cycle, cycle_no FROM ps JOIN pt2 USING (k) JOIN pk USING (k)", True),
+    "align_compare": _with([*_REPS, OUTER, COMPARED, ROTATIONS, ALIGN], "SELECT pair_id, ord, baseline, new, match_type, sig FROM al", True),
+    "trace_comparison": _with(
+        [TRACE, TRACES_COMPARED],
+        "SELECT ord, baseline, new, match_type, round(coalesce(x.avg_dur, 0), 3) AS base_avg, round(coalesce(w.avg_dur, 0), 3) AS new_avg FROM al LEFT JOIN kk x ON x.side = 'baseline' AND x.pos = base_at LEFT JOIN kk w ON w.side = 'new' AND w.pos = new_at",
+        True,
+    ),
+    "smart_pairs": _with([*_REPS, OUTER, COMPARED, PAIRS], "SELECT l, r, round(sim, 4) AS sim FROM sg2 JOIN so USING (k) WHERE kept", True),
     "lcs_rotation": _with([*_REPS, OUTER, COMPARED, ROTATIONS], "SELECT pair_id, r AS rotation, lcs FROM le WHERE rn = 1", True),
     "numbered_pairs": _with([*_REPS, OUTER, COMPARED], "SELECT pair_id, side, count(*) AS kernels, round(sum(avg_dur), 3) AS dur FROM kk WHERE pair_id = 2 GROUP BY pair_id, side"),
     "cycle_similarity": _with([*_REPS, OUTER, COMPARED], "SELECT l, r, round(sim, 4) AS sim FROM ks"),
+    "trace_scan": _with([TRACE], f"SELECT seq // {FILE_EVENTS} AS pid, seq % {FILE_EVENTS} AS seq, name, CAST(seq AS DOUBLE) AS ts, dur, CAST(7 AS BIGINT) AS tid FROM e"),
+    "cycle_csv_lines": _with([*_REPS, OUTER, CSV_LINES], "SELECT line_no, line FROM ln"),
+    "cycle_csv_rows": _with([*_REPS, OUTER], f"SELECT index AS pos, name, round(avg_dur, 3) AS avg_dur, round(min_dur, 3) AS min_dur, round(max_dur, 3) AS max_dur, round(stddev, 3) AS stddev, round({_SHARE}, 4) AS pct FROM z, h"),
+    "cycle_csv_shares": _with([*_REPS, OUTER, _signature("z", "zs")], f"SELECT sig, round(sum(round({_SHARE}, 4)), 3) AS weight FROM z JOIN zs USING (name), h WHERE index > 0 GROUP BY sig"),
+    "compare_csv_lines": _with([*_GREEDY, COMPARE_LINES], "SELECT line_no, line FROM ln", True),
+    "sheet_cells": _with([*_GREEDY, CELLS], "SELECT row, col, value, style FROM cc", True),
 }

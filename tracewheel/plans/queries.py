@@ -10,8 +10,22 @@ from pyspark.sql import functions as F
 from tracewheel.functions.names import category, fnv1a_mod, is_dimension_suffix, normalized, signature, truncated
 from tracewheel.operators import anchors, compare, cycles, similarity, stats
 from tracewheel.operators.verify import consecutive_repetitions, repetition_matches
-from tracewheel.plans.traces import event_trace, two_phase_trace
-from tracewheel.storage import staged
+from tracewheel.plans.traces import event_trace, trace_files, two_phase_trace
+from tracewheel.sources import cycle_csv, reports
+from tracewheel.sources.traces import read_traces
+from tracewheel.storage import fresh_path, staged
+
+#: What several queries of a session start from, by application, folder and name.
+_MADE: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], tuple[DataFrame, ...]]) -> tuple[DataFrame, ...]:
+    """Tables that queries share, each written once a session and folder, as a run over one trace would."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        _MADE[key] = tuple(staged(df, name) for df in make())
+    return _MADE[key]
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,9 +78,13 @@ def verified_cycles(spark, sf):
 def _outer(spark, sf):
     """The outer cycle, with its instances and statistics."""
     e = two_phase_trace(spark, sf)
-    found, instances = cycles.verified_anchors(e)
-    best = found.where("cnt >= 6").orderBy(F.desc("reps"), "cycle_id").limit(1)
-    return e, best, instances.join(best.select("cycle_id"), "cycle_id", "left_semi")
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        found, instances = cycles.verified_anchors(e)
+        best = cycles.best_outer(found, "auto")
+        return best, instances.join(best.select("cycle_id"), "cycle_id", "left_semi")
+
+    return e, *shared(spark, sf, "outer", make)
 
 
 def outer_cycle(spark, sf):
@@ -167,6 +185,10 @@ def no_patterns(spark, sf):
     return anchors.consistent_anchors(event_trace(spark, sf)).select("name", "cnt", "start", "cycle_len")
 
 
+def distinct_kmers(spark, sf):
+    return cycles.distinct_kmers(two_phase_trace(spark, sf)).select("kmers")
+
+
 def kmer_anchors(spark, sf):
     return cycles.kmer_anchors(two_phase_trace(spark, sf)).select(F.array_join("kmer", "|").alias("kmer"), "start", "cycle_len", "score")
 
@@ -213,7 +235,7 @@ def compared_kernels(spark: SparkSession, sf: str) -> DataFrame:
     short = [(1, s, k, n, float(k + 1), 0.5, 9.0, 0.1) for s, names in (("baseline", BASELINE), ("new", CHANGED)) for k, n in enumerate(names)]
     kind = "pair_id long, side string, pos long, name string, avg_dur double, min_dur double, max_dur double, stddev double"
     e, best, instances = _outer(spark, sf)
-    s = staged(stats.cycle_stats(e, best, instances).withColumn("n", F.count("*").over(Window.partitionBy("cycle_id"))), "outer-stats")
+    [s] = shared(spark, sf, "outer-stats", lambda: (stats.cycle_stats(e, best, instances).withColumn("n", F.count("*").over(Window.partitionBy("cycle_id"))),))
     cols = ("avg_dur", "min_dur", "max_dur", "stddev")
     base = s.select(F.lit(2).cast("long").alias("pair_id"), F.lit("baseline").alias("side"), F.col("index").alias("pos"), "name", *cols)
     turned = F.pmod(F.col("index") + 5, F.col("n"))
@@ -284,12 +306,67 @@ def smart_pairs(spark, sf):
     return plain(pairs)
 
 
+def trace_scan(spark, sf):
+    """The trace written as gzipped JSON files and read back."""
+    return read_traces(spark, trace_files(spark, sf)).select("pid", "seq", "name", "ts", "dur", "tid")
+
+
+def _lines(spark: SparkSession, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.rstrip("\n").split("\n"), 1)), "line_no long, line string")
+
+
+def _cycle_file(spark: SparkSession, sf: str) -> str:
+    """The file of the outer cycle: a few dozen positions."""
+    e, best, instances = _outer(spark, sf)
+    s = stats.cycle_stats(e, best, instances)
+    head = stats.cycle_header(best, s).collect()[0].asDict()
+    return cycle_csv.cycle_csv_text(head, [r.asDict() for r in s.orderBy("index").collect()])
+
+
+def cycle_csv_lines(spark, sf):
+    return _lines(spark, _cycle_file(spark, sf))
+
+
+def _read_back(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    path = fresh_path(spark, "cycle-csv")
+    spark.createDataFrame([(_cycle_file(spark, sf),)], "value string").coalesce(1).write.text(path)
+    return cycle_csv.read_cycles(spark, path)
+
+
+def cycle_csv_rows(spark, sf):
+    """The file of the outer cycle, read back."""
+    return _read_back(spark, sf)[0].drop("path")
+
+
+def cycle_csv_shares(spark, sf):
+    """Shares by signature of the file read back, without its first kernel."""
+    shares = cycle_csv.signature_shares(_read_back(spark, sf)[0])
+    return shares.select("sig", F.round("weight", 3).alias("weight"))
+
+
+def _matches(spark: SparkSession, sf: str, pair: int) -> list[dict]:
+    found = compare.compare(compared_kernels(spark, sf).where(F.col("pair_id") == pair), "match")
+    return [r.asDict() for r in found.orderBy("ord").collect()]  # positions of two cycles
+
+
+def compare_csv_lines(spark, sf):
+    return _lines(spark, reports.compare_csv_text(_matches(spark, sf, 2)))
+
+
+def sheet_cells(spark, sf):
+    """Every cell of the sheet that compares the short cycles, numbers to three decimals."""
+    info = {"base_reps": 3, "new_reps": 4, "base_cycle_time": 21.0, "new_cycle_time": 20.0}
+    cells = [(r, c, f"{v:.3f}" if isinstance(v, float) else v, style) for r, c, v, style in reports.sheet_cells(_matches(spark, sf, 1), info)]
+    return spark.createDataFrame(cells, "row long, col string, value string, style string")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         cycle_patterns, derived_trace, kernel_counts, anchor_candidates, anchor_gaps, consistent_anchors, verified_cycles, outer_cycle, cycle_stats, cycle_stats_sample,
         cycle_header, top_kernels, category_distribution, kernel_signature, kernel_category, normalized_name, name_hash, sub_cycles, pattern_signature,
-        pattern_similarity, phase_classification, phase_ends, pattern_stats, no_patterns, kmer_anchors, kmer_cycles, simple_cycles, bruteforce_cycle, first_repeat,
+        pattern_similarity, phase_classification, phase_ends, pattern_stats, no_patterns, distinct_kmers, kmer_anchors, kmer_cycles, simple_cycles, bruteforce_cycle, first_repeat,
         quick_probe, quick_verify, standard_cycle, align_compare, lcs_rotation, numbered_pairs, trace_comparison, match_compare, match_type_counts, change_heatmap, compare_totals, top_matches, cycle_similarity, smart_pairs,
+        trace_scan, cycle_csv_lines, cycle_csv_rows, cycle_csv_shares, compare_csv_lines, sheet_cells,
     )
 }

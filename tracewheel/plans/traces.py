@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewheel.sources.sequence import as_events, dense_sequence
-from tracewheel.storage import staged
+from tracewheel.storage import fresh_path, staged
 
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
@@ -41,3 +41,25 @@ def event_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a trace: it has no cycle."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return as_events(dense_sequence(e.select("event_id", F.col("event_type").alias("name"), F.col("value").alias("dur")), [F.col("event_id")]))
+
+
+#: Events a trace file.
+FILE_EVENTS = 1000
+
+
+def trace_files(spark: SparkSession, sf_dir: str) -> str:
+    """The trace as gzipped JSON files of FILE_EVENTS events each, whose pid is the file's number; the folder's path.
+
+    Every tenth event is followed by one of another category, every hundredth by a kernel whose
+    pid is a text: both are to be left out.
+    """
+    file, place = F.floor(F.col("seq") / FILE_EVENTS).cast("long"), F.col("seq")
+    kernel = F.to_json(F.struct("name", F.lit("kernel").alias("cat"), F.lit("X").alias("ph"), place.cast("double").alias("ts"), "dur", file.alias("pid"), F.lit(7).alias("tid"), F.struct(F.lit("a]}").alias("x")).alias("args")))
+    other = F.to_json(F.struct("name", F.lit("cpu_op").alias("cat"), F.lit("X").alias("ph")))
+    odd = F.to_json(F.struct("name", F.lit("kernel").alias("cat"), F.lit("X").alias("ph"), F.lit("Spans").alias("pid")))
+    texts = F.concat_ws(",\n", kernel, F.when(place % 10 == 0, other), F.when(place % 100 == 0, odd))
+    rows = two_phase_trace(spark, sf_dir).groupBy(file.alias("file")).agg(F.sort_array(F.collect_list(F.struct(place.alias("seq"), texts.alias("t")))).alias("e"))
+    doc = F.concat(F.lit('{"displayTimeUnit": "ms", "otherData": {"traceEvents": [1]}, "traceEvents": ['), F.array_join(F.transform("e", lambda x: x["t"]), ",\n"), F.lit('], "last": [{}]}'))
+    path = fresh_path(spark, "trace-files")
+    rows.select(doc.alias("value")).coalesce(1).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    return path

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewheel.functions.names import signature
 
-# The header of the file format.
+# The labels of the metadata and the header of the file format.
+LABELS = ("# Cycle Statistics", "# Iterations", "# Kernels per cycle", "# Avg cycle time (us)", "# Total time (us)")
 HEADER = ("index", "kernel_name", "avg_duration_us", "min_duration_us", "max_duration_us", "stddev_us", "count", "pct_of_cycle")
 
 
@@ -18,11 +19,9 @@ def cycle_csv_text(header: dict, rows: list[dict]) -> str:
     """The file of one cycle; ``rows`` are its positions in order."""
     out = io.StringIO()
     w = csv.writer(out, lineterminator="\n")
-    w.writerow(["# Cycle Statistics"])
-    w.writerow(["# Iterations", header["reps"]])
-    w.writerow(["# Kernels per cycle", header["cycle_len"]])
-    w.writerow(["# Avg cycle time (us)", f"{header['avg_cycle_time'] or 0:.3f}"])
-    w.writerow(["# Total time (us)", f"{header['total_time'] or 0:.3f}"])
+    w.writerow(LABELS[:1])
+    for label, value in zip(LABELS[1:], (header["reps"], header["cycle_len"], f"{header['avg_cycle_time'] or 0:.3f}", f"{header['total_time'] or 0:.3f}"), strict=True):
+        w.writerow([label, value])
     out.write("\n")
     w.writerow(HEADER)
     for r in rows:
@@ -54,7 +53,7 @@ def read_cycles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.when(F.array_contains("f", "kernel_name"), F.col("line_no"))).over(Window.partitionBy("path"))
     lines = lines.withColumn("head_no", first)
     head = lines.where("line_no = head_no").select("path", F.col("f").alias("h"))
-    meta = lines.where("line_no < head_no").groupBy("path").agg(*[F.max(F.when(F.get("f", 0) == label, F.get("f", 1))).try_cast(kind).alias(name) for label, kind, name in (("# Iterations", "long", "iterations"), ("# Avg cycle time (us)", "double", "avg_cycle_time"))])
+    meta = lines.where("line_no < head_no").groupBy("path").agg(*[F.max(F.when(F.get("f", 0) == label, F.get("f", 1))).try_cast(kind).alias(name) for label, kind, name in ((LABELS[1], "long", "iterations"), (LABELS[3], "double", "avg_cycle_time"))])
     data = lines.where("line_no > head_no").join(F.broadcast(head), "path")
 
     def column(name: str) -> Column:

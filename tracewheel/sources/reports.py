@@ -105,34 +105,39 @@ def _cell(ref: str, value, style: int) -> str:
     return f'<c r="{ref}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
 
-def _sheet(matches: list[dict], info: dict) -> str:
-    at = {name: k for k, name in enumerate(STYLES, 1)}
+def sheet_cells(matches: list[dict], info: dict) -> list[tuple[int, str, object, str]]:
+    """(row, column letter, value, style) of every cell of a comparison's sheet; a value of None fills the cell only."""
     letters = "ABCDEFGHIJKL"
-    base, new, new_time, base_time = _sums(matches)
+    base, new, new_sum, _ = _sums(matches)
 
     def said(side: str, n: int, reps, time: float) -> str:
         return f"{side}: {n} kernels" + (f" × {reps} iters" if reps else "") + (f", {time:.1f} {MICRO}/cycle" if time > 0 else "")
 
     base_time, new_time = info.get("base_cycle_time") or 0.0, info.get("new_cycle_time") or 0.0
-    rows = ["".join(_cell(f"{c}1", h, at["header"]) for c, (h, _) in zip(letters, COLUMNS, strict=True))]
-    total = {"A": said("Baseline", base, info.get("base_reps"), base_time), "F": said("New", new, info.get("new_reps"), new_time), "G": round(_sums(matches)[2], 3)}
-    change = (new_time - base_time) / base_time * 100 if base_time > 0 and new_time > 0 else None
-    cells = "".join(_cell(f"{c}2", v, 0) for c, v in total.items())
-    if change is not None:
-        cells += _cell("K2", round(change, 1), at["improved" if change < -5 else "regressed" if change > 5 else "neutral"])
-    rows.append(cells)
+    out: list[tuple[int, str, object, str]] = [(1, c, h, "header") for c, (h, _) in zip(letters, COLUMNS, strict=True)]
+    out += [(2, "A", said("Baseline", base, info.get("base_reps"), base_time), ""), (2, "F", said("New", new, info.get("new_reps"), new_time), ""), (2, "G", round(new_sum, 3), "")]
+    if base_time > 0 and new_time > 0:
+        change = (new_time - base_time) / base_time * 100
+        out.append((2, "K", round(change, 1), "improved" if change < -5 else "regressed" if change > 5 else "neutral"))
     for r, m in enumerate(matches, 3):
         has_base, has_new = m["base_avg"] > 0, m["new"] != "." and m["new_avg"] > 0
         line = [m["baseline"], *[round(m[f"base_{s}"], 3) if has_base else None for s in ("avg", "min", "max", "stddev")], m["new"], *[round(m[f"new_{s}"], 3) if has_new else None for s in ("avg", "min", "max", "stddev")]]
-        style = at[m["match_type"]]
-        cells = "".join(_cell(f"{c}{r}", v, style) for c, v in zip(letters, line, strict=False))
+        out += [(r, c, v, m["match_type"]) for c, v in zip(letters, line, strict=False)]
         if m["change_pct"] is not None:
-            cells += _cell(f"K{r}", round(m["change_pct"], 1), at[m["change_class"]])
+            out.append((r, "K", round(m["change_pct"], 1), m["change_class"]))
         elif m["match_type"] in ("new_only", "removed"):
-            cells += _cell(f"K{r}", "NEW" if m["match_type"] == "new_only" else "REMOVED", at[m["change_class"]])
-        rows.append(cells + _cell(f"L{r}", m["match_type"], style))
+            out.append((r, "K", "NEW" if m["match_type"] == "new_only" else "REMOVED", m["change_class"]))
+        out.append((r, "L", m["match_type"], m["match_type"]))
+    return out
+
+
+def _sheet(matches: list[dict], info: dict) -> str:
+    at = {"": 0} | {name: k for k, name in enumerate(STYLES, 1)}
+    rows: dict[int, str] = {}
+    for r, letter, value, style in sheet_cells(matches, info):
+        rows[r] = rows.get(r, "") + _cell(f"{letter}{r}", value, at[style])
     widths = "".join(f'<col min="{k}" max="{k}" width="{w}" customWidth="1"/>' for k, (_, w) in enumerate(COLUMNS, 1))
-    body = "".join(f'<row r="{k}">{cells}</row>' for k, cells in enumerate(rows, 1))
+    body = "".join(f'<row r="{k}">{cells}</row>' for k, cells in rows.items())
     return f'<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{widths}</cols><sheetData>{body}</sheetData><autoFilter ref="A1:L{len(rows)}"/></worksheet>'
 
 
