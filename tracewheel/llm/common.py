@@ -50,8 +50,8 @@ def text_key(text: Column) -> Column:
 
 
 def chunks_for(rows: int, each: int = 200_000) -> int:
-    """Chunks of about ``each`` rows, 32 at least."""
-    return max(32, -(-rows // each))
+    """Chunks of about ``each`` rows; at least so many that a hot group is spread over any usual number of tasks."""
+    return max(256, -(-rows // each))
 
 
 #: Tables of at most so many rows are put in order by one task.
