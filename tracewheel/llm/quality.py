@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewheel.llm.common import SPACES, space_words
+from tracewheel.llm.common import SPACES, lower_ascii, space_words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Common function words of the languages that are kept.
@@ -21,12 +21,15 @@ THRESHOLDS = (
     ("words", "n_words", 50, None),
     ("word_length", "mean_word_chars", 2.0, 20.0),
     ("symbols", "symbols_per_word", None, 0.1),
-    ("stop_words", "n_stop_words", 2, None),
+    ("stop_words", "stop_word_ratio", 0.05, None),
     ("repeated_lines", "dup_line_ratio", None, 0.3),
     ("bullet_lines", "bullet_line_ratio", None, 0.9),
     ("ellipsis_lines", "ellipsis_line_ratio", None, 0.3),
 )
 
+#: Fewer repeated lines than these are chance, not repetition: their ratio is 0.
+LEAST_DUP_LINES = 3
+
 BASE_WORDS = 50
 BASE_REPEAT_PERCENT = 50
 
@@ -65,12 +68,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": F.regexp_count("_q_text", F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
         "n_repeat_words": F.when(F.col("_q_sorted").isNull(), F.lit(0)).otherwise(repeated_cover("_q_sorted", 3)).cast("long"),
-        "n_stop_words": F.size(F.array_intersect("_q_words", F.array(*map(F.lit, stops)))).cast("long"),
+        "n_stop_words": F.size(F.filter(space_words(lower_ascii(F.col("_q_text"))), lambda x: x.isin(stops))).cast("long"),
         "bullet_line_ratio": F.size(F.filter("_q_lines", lambda x: F.ltrim(x).rlike("^[-*•]"))) / lines,
         "ellipsis_line_ratio": F.size(F.filter("_q_lines", lambda x: F.rtrim(x).rlike("(\\.\\.\\.|…)$"))) / lines,
     }
     out = out.withColumns({f"_q_{k}": v for k, v in measures.items()})
-    return out.withColumns({"_q_mean_word_chars": F.col("_q_word_chars") / n, "_q_symbols_per_word": F.col("_q_n_symbols") / n, "_q_dup_line_ratio": F.col("_q_n_dup_lines") / lines})
+    return out.withColumns({"_q_mean_word_chars": F.col("_q_word_chars") / n, "_q_symbols_per_word": F.col("_q_n_symbols") / n, "_q_stop_word_ratio": F.col("_q_n_stop_words") / n, "_q_dup_line_ratio": F.when(F.col("_q_n_dup_lines") >= LEAST_DUP_LINES, F.col("_q_n_dup_lines") / lines).otherwise(0.0)})
 
 
 def compiled(thresholds=THRESHOLDS) -> Column:
@@ -102,17 +105,19 @@ def quality_report(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """The rows of ``docs`` that pass the base test and every rule, with all their columns.
+    """The rows of ``docs`` that pass the base test and every rule, with all their columns; none of an empty table.
 
     The verdict passes through a generator, below which the optimizer moves no filter: moved
     there, the measures would be made again for each use.
     """
-    q = measure(docs)
-    q = q.select("*", F.explode(F.array(~base_failed() & (F.size(compiled(thresholds)) == 0))).alias("_q_kept"))
-    return q.where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    q = measure(docs.select(own, F.col("text").cast("string").alias("text")))
+    q = q.select("row", F.explode(F.array(~base_failed() & (F.size(compiled(thresholds)) == 0))).alias("_q_kept"))
+    return q.where("_q_kept").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The report of all documents; edge cases are those of ``quality_report``."""
     return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("failed_rules")
 
 
@@ -133,13 +138,13 @@ r AS (SELECT rid, count(DISTINCT i + o) AS n_repeat_words FROM k, (VALUES (0), (
 m AS (SELECT w.rid, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols,
              len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-             len(list_intersect(list_distinct(ws), {sorted({w for ws in STOP_WORDS.values() for w in ws})})) AS n_stop_words,
+             len(list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: list_contains({sorted({w for ws in STOP_WORDS.values() for w in ws})}, x))) AS n_stop_words,
              len(list_filter(ls, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) / greatest(len(ls), 1) AS bullet_line_ratio,
              len(list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '(\\.\\.\\.|…)$'))) / greatest(len(ls), 1) AS ellipsis_line_ratio,
              greatest(len(ls), 1) AS lines
       FROM w LEFT JOIN r ON w.rid = r.rid),
 q AS (SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word,
-             n_dup_lines / lines AS dup_line_ratio, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)
+             n_stop_words / greatest(n_words, 1) AS stop_word_ratio, CASE WHEN n_dup_lines >= {LEAST_DUP_LINES} THEN n_dup_lines / lines ELSE 0 END AS dup_line_ratio, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND {_sql_limits()} AS kept
