@@ -79,7 +79,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 #: The dates of list entries and fetches of the query are made from the pages, as these have none: a host is on a
-#: list from a day that its MD5 gives, off it again some weeks later and, for some, back on it.
+#: list from a day that its MD5 gives, off it again some weeks later and back on it. So are, by the first byte of
+#: the MD5, some paths, which stay, and some URLs, which are taken off.
 FIXED_ENTRIES = (
     ("registry", "domain", "example.org", "add", "2024-06-01"),
     ("registry", "domain", "example.org", "remove", "2024-08-01"),
@@ -88,20 +89,24 @@ FIXED_ENTRIES = (
 
 
 def made_entries(pages: DataFrame) -> DataFrame:
-    hosts = pages.select(host_of(F.col("url")).alias("key")).where("key <> ''").distinct()
-    n = hosts.withColumn("n", F.conv(F.substr(F.md5("key"), F.lit(1), F.lit(4)), 16, 10).cast("int"))
-    start = F.lit("2024-01-01").cast("date")
-    steps = F.array(
-        F.struct(F.lit("add").alias("action"), F.date_add(start, F.col("n") % 300).alias("at")),
-        F.struct(F.lit("remove").alias("action"), F.date_add(start, F.col("n") % 300 + 20 + F.col("n") % 40).alias("at")),
-        F.struct(F.lit("add").alias("action"), F.date_add(start, F.col("n") % 300 + 120).alias("at")),
-    )
-    listed = n.select(F.lit("hosts").alias("list"), F.lit("host").alias("kind"), "key", F.explode(steps).alias("s")).select("list", "kind", "key", "s.*")
+    def dated(kind: str, name: str, keys: DataFrame, *steps: tuple[str, Column]) -> DataFrame:
+        found = keys.where("key <> ''").distinct().withColumn("n", F.conv(F.substr(F.md5("key"), F.lit(1), F.lit(4)), 16, 10).cast("int"))
+        start = F.lit("2024-01-01").cast("date")
+        s = F.explode(F.array(*[F.struct(F.lit(action).alias("action"), F.date_add(start, day).alias("at")) for action, day in steps])).alias("s")
+        chosen = found.where({"host": "true", "prefix": "n < 16384", "url": "n < 8192"}[kind])
+        return chosen.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), "key", s).select("list", "kind", "key", "s.*")
+
+    n, plain = F.col("n"), plain_url(F.col("url"))
+    hosts = dated("host", "hosts", pages.select(host_of(F.col("url")).alias("key")), ("add", n % 300), ("remove", n % 300 + 20 + n % 40), ("add", n % 300 + 120))
+    path = F.substring_index(F.substring_index(plain, "?", 1), "/", 2)
+    paths = dated("prefix", "paths", pages.select(path.alias("key")).where(F.col("key").rlike("/.")), ("add", n % 200))
+    urls = dated("url", "urls", pages.select(plain.alias("key")), ("add", n % 100), ("remove", n % 100 + 150))
     fixed = pages.sparkSession.createDataFrame(list(FIXED_ENTRIES), "list string, kind string, key string, action string, at string").withColumn("at", F.col("at").cast("date"))
-    return listed.unionByName(fixed)
+    return hosts.unionByName(paths).unionByName(urls).unionByName(fixed)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Every page as a capture on a day that its id gives; edge cases are those of ``evaluate``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     captures = pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
     out = evaluate(captures, made_entries(pages))
@@ -109,15 +114,25 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS DATE) AS fetched,
-                  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host FROM pages),
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS DATE) AS fetched,
+                  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+                  regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest FROM pages),
+p AS (SELECT *, host || regexp_replace(rest, '/$', '') AS plain, string_split(string_split(host || regexp_replace(rest, '/$', ''), '?')[1], '/') AS parts FROM u),
 h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS INT) AS n FROM p WHERE host <> ''),
+a AS (SELECT DISTINCT parts[1] || '/' || parts[2] AS key, CAST('0x' || substr(md5(parts[1] || '/' || parts[2]), 1, 4) AS INT) AS n FROM p WHERE len(parts) > 1 AND parts[2] <> ''),
+w AS (SELECT DISTINCT plain AS key, CAST('0x' || substr(md5(plain), 1, 4) AS INT) AS n FROM p WHERE plain <> ''),
 e AS (SELECT 'hosts' AS list, 'host' AS kind, host AS key, DATE '2024-01-01' + n % 300 AS f, DATE '2024-01-01' + (n % 300 + 20 + n % 40) AS t FROM h
       UNION ALL SELECT 'hosts', 'host', host, DATE '2024-01-01' + (n % 300 + 120), DATE '9999-12-31' FROM h
+      UNION ALL SELECT 'paths', 'prefix', key, DATE '2024-01-01' + n % 200, DATE '9999-12-31' FROM a WHERE n < 16384
+      UNION ALL SELECT 'urls', 'url', key, DATE '2024-01-01' + n % 100, DATE '2024-01-01' + (n % 100 + 150) FROM w WHERE n < 8192
       UNION ALL SELECT 'registry', 'domain', 'example.org', DATE '2024-06-01', DATE '2024-08-01'
       UNION ALL SELECT 'registry', 'domain', 'example.net', DATE '2024-11-15', DATE '9999-12-31'),
-m AS (SELECT rid, list, kind, key, f, row_number() OVER (PARTITION BY rid ORDER BY CASE kind WHEN 'host' THEN 0 ELSE 1 END, length(key) DESC, list) AS r
-      FROM p JOIN e ON (kind = 'host' AND key = host OR kind = 'domain' AND (host = key OR host LIKE '%.' || key)) AND fetched >= f AND fetched < t)
+c AS (SELECT rid, fetched, 3 AS width, 'domain' AS kind, array_to_string(string_split(host, '.')[i:], '.') AS key FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p WHERE host <> '')
+      UNION ALL SELECT rid, fetched, 2, 'host', host FROM p WHERE host <> ''
+      UNION ALL SELECT rid, fetched, 1, 'prefix', array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM p WHERE host <> '') WHERE parts[i] <> ''
+      UNION ALL SELECT rid, fetched, 0, 'url', plain FROM p WHERE host <> ''),
+m AS (SELECT rid, list, kind, key, f, row_number() OVER (PARTITION BY rid ORDER BY width, length(key) DESC, list, key, f) AS r
+      FROM c JOIN e USING (kind, key) WHERE fetched >= f AND fetched < t)
 SELECT page_id, url, CAST(fetched AS VARCHAR) AS fetched, key IS NOT NULL AS blocked, list, kind, key, CAST(CAST(f AS DATE) AS VARCHAR) AS valid_from
 FROM p LEFT JOIN m ON p.rid = m.rid AND r = 1
 """
