@@ -1,10 +1,12 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters are words and word beginnings that the training fold marks, by their presence or by how
-often they stand among a text's words, a seed lexicon, and a few patterns. The label model is a two-class mixture: each voter has a chance to vote in either
-class, fitted by expectation maximisation from counts on the training labels. Voters that still
-agree once the class is accounted for are correlated, and each counts less the more it shares.
-The classifier is a logistic regression on the voters' features, fitted to the posteriors.
+often they stand among a text's words, a seed lexicon, patterns, and the training label itself.
+The label model is a two-class mixture: each voter, the label like any other, has a chance to
+vote in either class, estimated by expectation maximisation that starts from the votes. Voters
+that still agree once the class is accounted for are correlated, and each counts less the more
+it shares. The classifier is a logistic regression on the voters' features, fitted to the
+posteriors; it never sees a label.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,18 +33,25 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 RATES = (0, 2, 4, 8, 16, 32)
 WORDS = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.7
+#: To the classifier a toxic text that is missed is as bad as so many clean ones that are marked.
+TOXIC_COST = 3.0
 #: Correlations below this are taken for chance.
 CORRELATED = 0.3
-#: How often a training label is taken to be right.
-LABEL_ACCURACY = 0.95
-
 #: Words that insult in themselves.
 SEEDS = "idiot moron scum trash clown worthless pathetic disgusting stupid loser imbecile dumbass bastard asshole bitch retard scumbag dimwit fool vermin".split()
 
-#: Pattern voters: name and expression, searched in the text in small letters.
+#: Pattern voters: name, strings of which one must be in the text, and expression, searched in the text in small letters.
 PATTERNS = (
-    ("you_are", re.compile(r"\byou(?:'re| are) (?:a |an |such |so )")),
-    ("shut_up", re.compile(r"\bshut up\b|\bgo to hell\b|\bhate you\b|\bkill yourself\b")),
+    ("you_are", ("you are", "you're"), re.compile(r"\byou(?:'re| are) (?:all |just )?(?:an? |such |so |nothing)")),
+    ("silencing", ("shut", "get lost", "go to hell", "screw you", "drop dead"), re.compile(r"\b(?:shut (?:up|your)|get lost|go to hell|screw you|drop dead)\b")),
+    ("hatred", ("hate", "despise", "loathe"), re.compile(r"\b(?:hates? (?:you|them|these|those)|despises? (?:you|them)|loathes? (?:you|them))\b")),
+    ("threat", ("kill", "hurt", "hang", "shoot", "burn"), re.compile(r"\b(?:kill|hurt|hang|shoot|burn) (?:you|yourself|yourselves|them all|him|her)\b")),
+    ("unwanted", ("nobody", "no one"), re.compile(r"\bno(?:body| one) (?:likes|wants|needs|cares about) (?:you|them)\b")),
+    ("those_people", (" people are", " people should", " people deserve"), re.compile(r"\b(?:you|those|these) people (?:are|should|deserve)\b")),
+    ("german", ("du bist", "ihr seid", "halt die", "halt's", "verpiss"), re.compile(r"\b(?:du bist (?:ein|so|doch)|ihr seid (?:alle|so)|halt(?: die (?:klappe|fresse)|'s maul)|verpiss dich)\b")),
+    ("french", ("tu es", "t'es", "ta gueule", "ferme-la"), re.compile(r"\b(?:(?:tu es|t'es) (?:une?|qu'une?|trop) |ta gueule\b|ferme-la\b)")),
+    ("spanish", ("eres", "cállate", "vete a"), re.compile(r"\b(?:eres (?:una?|tan) |cállate\b|vete a la\b)")),
+    ("exclaiming", ("!!!",), re.compile(r"!!!")),
 )
 
 
@@ -91,8 +101,8 @@ class Lexicon:
         out = np.zeros(self.n + 2 + len(PATTERNS), np.float32)
         out[list(found)] = 1
         out[self.n], out[self.n + 1] = bool(found), np.log1p(total)
-        for k, (_, p) in enumerate(PATTERNS):
-            out[self.n + 2 + k] = p.search(low) is not None
+        for k, (_, parts, p) in enumerate(PATTERNS):
+            out[self.n + 2 + k] = any(x in low for x in parts) and p.search(low) is not None
         return out
 
 
@@ -182,14 +192,33 @@ def marked_rows(sample: DataFrame, features: list[str]) -> tuple[list[set[int]],
     return marks, {i for i, (y, _) in enumerate(rows) if y}, len(rows)
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Posterior chance of label 1 of each row of 0/1 ``votes``, by EM from the labels' counts.
+@dataclass
+class LabelModel:
+    """What the label model has learnt: the rows' chance of class 1, each voter's chance to vote in either class, and
+    how much of a voter's log-odds counts."""
+
+    posterior: np.ndarray
+    chance: np.ndarray
+    share: np.ndarray
+
+
+def first_guess(votes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Of the groups of voters that ever vote, the part that votes in each row: a majority vote by kind of voter."""
+    said = np.stack([votes[:, groups == g].any(axis=1) for g in np.unique(groups)], axis=1)
+    said = said[:, said.any(axis=0)]
+    return said.mean(axis=1) if said.shape[1] else np.zeros(len(votes))
+
+
+def label_model(votes: np.ndarray, groups: np.ndarray, rounds: int = 25) -> LabelModel:
+    """Two classes fitted to 0/1 ``votes`` (rows by voters) by EM, from the majority vote of the kinds ``groups``.
 
     ``chance[c, j]`` is the chance that voter j votes in class c. ``share[j]`` is how much of
     its log-odds counts: one over one and the sum of its correlations with the other voters
-    that the classes leave.
+    that the classes leave; a label is not made from a text's words, so it has none. No voter's
+    accuracy is given; all are estimated.
     """
-    post = np.clip(labels, 0.02, 0.98)
+    apart = groups == "label"
+    post = np.clip(first_guess(votes, groups), 0.02, 0.98)
     for _ in range(rounds):
         prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
         weight = np.stack([1 - post, post])
@@ -198,23 +227,24 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 8) -> np.nd
         spread = np.sqrt((left**2).mean(axis=0)) + 1e-6
         corr = (left.T @ left) / len(left) / np.outer(spread, spread)
         np.fill_diagonal(corr, 0)
+        corr[apart], corr[:, apart] = 0, 0
         share = 1 / (1 + np.where(corr > CORRELATED, corr, 0).sum(axis=1))
         on, off = np.log(chance[1] / chance[0]), np.log((1 - chance[1]) / (1 - chance[0]))
         odds = np.log(prior / (1 - prior)) + votes @ (share * on) + (1 - votes) @ (share * off)
-        odds += (2 * labels - 1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
         post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return post
+    return LabelModel(post, chance, share)
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 12) -> np.ndarray:
-    """Weights and, last, the bias of a logistic regression on soft labels, by Newton's method."""
+    """Weights and, last, the bias of a logistic regression on soft labels, by Newton's method; class 1 counts TOXIC_COST."""
     x = np.hstack([x.astype(float), np.ones((len(x), 1))])
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     keep[-1] = 1e-3
+    cost = 1 + (TOXIC_COST - 1) * y
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        s = np.maximum(p * (1 - p), 1e-4)
-        w = w - np.linalg.solve((x * s[:, None]).T @ x + np.diag(keep), x.T @ (p - y) + keep * w)
+        s = cost * np.maximum(p * (1 - p), 1e-4)
+        w = w - np.linalg.solve((x * s[:, None]).T @ x + np.diag(keep), x.T @ (cost * (p - y)) + keep * w)
     return w
 
 
@@ -226,13 +256,16 @@ def lift(hits: int, n: int, base: float) -> float:
     return hits * np.log(hits / (n * base)) + (clean * np.log(clean / (n * (1 - base))) if clean else 0.0)
 
 
-def needed(marks: list[set[int]], toxic: set[int], total: int, mined: int, least: int = 3) -> list[int]:
-    """The mined features that say something of rows that no seed and none chosen before marks, the surest first.
+def needed(marks: list[set[int]], toxic: set[int], total: int, mined: int, least: int = 3, voters: int = 3) -> list[int]:
+    """The mined features that say something of rows that no seed and few chosen before mark, the surest first.
 
-    There, a feature marks at least ``least`` toxic rows, and more than chance does among so many
-    features. Those from place ``mined`` on are the seeds'; ``total`` is the number of rows.
+    A row is settled when a seed or ``voters`` chosen features mark it. Among the others, a
+    feature marks at least ``least`` toxic rows, and more than chance does among so many
+    features; of features that mark the same rows one is chosen. Those from place ``mined`` on
+    are the seeds'; ``total`` is the number of rows.
     """
     covered, out = set().union(*marks[mined:]), []
+    times: Counter[int] = Counter()
     left = {k: marks[k] - covered for k in range(mined)}
     while left:
         base = len(toxic - covered) / max(total - len(covered), 1)
@@ -242,30 +275,60 @@ def needed(marks: list[set[int]], toxic: set[int], total: int, mined: int, least
         if best is None or sure[best] < np.log(100 * mined):
             break
         out.append(best)
-        covered |= left[best]
-        newly = left.pop(best)
-        left = {k: new - newly for k, new in left.items()}
+        same = marks[best]
+        times.update(left.pop(best))
+        newly = {i for i in same if times[i] >= voters}
+        covered |= newly
+        left = {k: new - newly for k, new in left.items() if marks[k] != same}
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """The lexicon and the classifier's weights. Without labels of both classes, any seed word decides."""
+@dataclass
+class ToxicityModel:
+    """The lexicon, the classifier's weights, and what was learnt of each voter: (voter, kind, votes, precision, share)."""
+
+    features: list[str]
+    weights: np.ndarray
+    voters: list[tuple[str, str, int, float, float]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
+    """Voters, label model and classifier from the training fold.
+
+    With labels of one class only, the label is no voter and the seeds and patterns are fitted
+    alone; without any labelled row, any seed word decides.
+    """
     sample = stage(distinct_texts(training_sample(docs, labels, rows)), "sample")
     mined, seeds = mined_features(sample), [f"{'p' if len(s) > 4 else 'w'}:{s}" for s in SEEDS]
     features = [mined[k] for k in needed(*marked_rows(sample, mined + seeds), len(mined))] + seeds
     x, y = vote_matrix(sample, features)
-    if len(set(y.tolist())) < 2:
+    n_mined, own = len(features) - len(seeds), [*range(len(features)), *range(len(features) + 2, x.shape[1])]  # without the sums over the lexicon
+    names = features + [name for name, _, _ in PATTERNS]
+    kinds = ["mined"] * n_mined + ["seed"] * len(seeds) + ["pattern"] * len(PATTERNS)
+    votes = (x > 0)[:, own].astype(float)
+    if len(set(y.tolist())) == 2:
+        votes, names, kinds = np.hstack([votes, y[:, None]]), [*names, "label"], [*kinds, "label"]
+    if not votes.any():
         w = np.zeros(len(features) + 3 + len(PATTERNS))
         w[len(features)], w[-1] = 6.0, -4.0
-        return features, w
-    voters = [*range(len(features)), *range(len(features) + 2, x.shape[1])]  # without the sums over the lexicon
-    votes = (x > 0)[:, voters].astype(float)
-    return features, fit_linear(x, label_model(votes, y))
+        return ToxicityModel(features, w, [])
+    heard = votes.any(axis=0)  # one that never votes says nothing
+    votes, names, kinds = votes[:, heard], [x for x, h in zip(names, heard, strict=True) if h], [x for x, h in zip(kinds, heard, strict=True) if h]
+    fitted = label_model(votes, np.array(kinds))
+    n = votes.sum(axis=0)
+    right = (fitted.posterior @ votes) / np.maximum(n, 1)
+    voters = [(a, k, int(c), float(r), float(s)) for a, k, c, r, s in zip(names, kinds, n, right, fitted.share, strict=True)]
+    return ToxicityModel(features, fit_linear(x, fitted.posterior), voters)
+
+
+def voter_report(spark, model: ToxicityModel) -> DataFrame:
+    """(voter, kind, votes, precision, share): what the label model has learnt of each voter on the sample."""
+    return spark.createDataFrame(model.voters, "voter string, kind string, votes long, precision double, share double")
 
 
-def score(docs: DataFrame, features: list[str], weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; whole texts are read."""
-    w = weights.tolist()
+    features, w = model.features, model.weights.tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, v = Lexicon(features), np.array(w)
@@ -286,10 +349,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
     several labels of a doc_id the highest holds. Rows may repeat; either table may be empty;
     other columns are ignored.
     """
-    features, weights = fit(docs, labels, rows)
-    return score(docs, features, weights)
+    return score(docs, fit(docs, labels, rows))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents; edge cases are those of ``toxicity``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return toxicity(docs, labels)
