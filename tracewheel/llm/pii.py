@@ -27,8 +27,14 @@ FAMILY_MIDS = "a e i o an en in on ar er ir or al el il ol".split()
 FAMILY_TAILS = "by den dale ford gard ham land ley lock man mont sen ström ton well wick".split()
 FAMILY_CYRILLIC = ("Вол Кор Мор Нов Пет Сок Тар Фед".split(), "а е и о".split(), "ков нов рин сов шин ин ев ёв".split())
 
+#: Words before a name that is in no list; they stay.
+LEADS = ("name is", "Name:", "Dear", "Sincerely,", "Regards,", "signed by", "Signed by", "Contact:", "Attn:")
+
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 _TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + ["Dr", "Prof"], key=len, reverse=True))
+_LEAD = "|".join(LEADS)
+#: What stands before a name and is no part of it.
+_BEFORE = rf"(?:(?:{_TITLE})\.?|{_LEAD}) "
 _GIVEN = "|".join(sorted(MALE_GIVEN + FEMALE_GIVEN + MALE_CYRILLIC + FEMALE_CYRILLIC, key=len, reverse=True))
 
 #: (type, pattern) in order of preference; together they are one alternation. Each starts where a run does, so a
@@ -36,12 +42,15 @@ _GIVEN = "|".join(sorted(MALE_GIVEN + FEMALE_GIVEN + MALE_CYRILLIC + FEMALE_CYRI
 PATTERNS = (
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"),
+    ("ip6", r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9A-Za-z+])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}|0[1-9](?:[ .-][0-9]{2}){4}|[2-9][0-9]{9})(?![0-9A-Za-z])"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"),
-    ("person", rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_NAME}(?: {_NAME})?)|(?:{_GIVEN}) {_NAME})(?!\p{{L}})"),
+    ("key", r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])"),
+    ("person", rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? (?:{_NAME}(?: {_NAME})?)|(?:{_LEAD}) (?!(?:{_TITLE})(?!\p{{L}})){_NAME} {_NAME}|(?:{_GIVEN}) {_NAME})(?!\p{{L}})"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
@@ -57,15 +66,15 @@ def entity_type(raw: Column) -> Column:
 def canonical(kind: Column, raw: Column) -> Column:
     """What makes two spellings one entity: letter case of addresses, separators of numbers, titles of names."""
     return (
-        F.when(kind == "email", F.lower(raw))
+        F.when(kind.isin("email", "ip6"), F.lower(raw))
         .when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(raw, "[ ().-]", ""))
-        .when(kind == "person", F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", ""))
+        .when(kind == "person", F.regexp_replace(raw, f"^{_BEFORE}", ""))
         .otherwise(raw)
     )
 
 
 def gender_of(raw: Column) -> Column:
-    first = F.regexp_extract(raw, r"^(\p{L}+)", 1)
+    first = F.regexp_extract(F.regexp_replace(raw, rf"^(?:{_LEAD}) ", ""), r"^(\p{L}+)", 1)
     return F.when(first.isin(MALE_TITLES + MALE_GIVEN + MALE_CYRILLIC), "m").when(first.isin(FEMALE_TITLES + FEMALE_GIVEN + FEMALE_CYRILLIC), "f").otherwise("n")
 
 
@@ -85,6 +94,25 @@ def same_format(value: Column, digest: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), turn), "")
 
 
+def same_hex(value: Column, digest: Column) -> Column:
+    """``value`` with its hexadecimal digits replaced by others, the first of a group never by 0."""
+
+    def turn(c: Column, i: Column) -> Column:
+        drawn = F.substr(digest, F.pmod(i, F.lit(128)) + 1, F.lit(1))
+        return F.when(c == ":", c).otherwise(F.when(drawn == "0", "1").otherwise(drawn))
+
+    return F.array_join(F.transform(F.split(value, ""), turn), "")
+
+
+#: What a key begins with says whose it is; the rest is secret.
+KEY_HEAD = r"^(A[KS]IA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|AIza|eyJ)"
+
+
+def key_like(value: Column, digest: Column) -> Column:
+    head = F.regexp_extract(value, KEY_HEAD, 1)
+    return F.concat(head, same_format(F.substr(value, F.length(head) + 1), digest))
+
+
 def luhn_sum(number: Column) -> Column:
     """The Luhn sum of a string of digits, its last digit at weight one."""
     def weigh(c: Column, i: Column) -> Column:
@@ -101,6 +129,11 @@ def card_like(value: Column, digest: Column) -> Column:
     return F.concat(drawn, F.when(F.pmod(luhn_sum(value), F.lit(10)) == 0, check).otherwise(F.substr(digits_of(digest), F.lit(100), F.lit(1))))
 
 
+def phone_head(value: Column) -> Column:
+    """What of a number without separators stays: the country's code, of which two digits tell, or the first zero."""
+    return F.regexp_extract(value, r"^(\+(?:[17]|[2-9][0-9])|0?)", 1)
+
+
 def pick(names: list[str], digest: Column, at: int) -> Column:
     number = F.conv(F.substr(digest, F.lit(at), F.lit(7)), 16, 10).cast("long")
     return F.element_at(F.array(*map(F.lit, names)), (F.pmod(number, F.lit(len(names))) + 1).cast("int"))
@@ -136,10 +169,12 @@ def draw(key: str) -> Column:
         F.when(kind == "email", F.concat(same_format(user, d), F.lit("@"), same_format(host, F.reverse(d)), F.lit("."), domain))
         .when(kind == "ip", F.concat_ws(".", octet(1, 1, 223), octet(9, 0, 256), octet(17, 0, 256), octet(25, 1, 254)))
         .when(kind == "card", card_like(value, d))
+        .when(kind == "ip6", same_hex(value, d))
+        .when(kind == "key", key_like(value, d))
         .when(kind == "secret", F.when(value.rlike("[a-f]") | ~value.rlike("[A-F]"), F.substr(d, F.lit(1), F.length(value))).otherwise(F.upper(F.substr(d, F.lit(1), F.length(value)))))
         .when(kind == "iban", F.concat(F.left(value, F.lit(2)), same_format(F.substr(value, F.lit(3)), d)))
         .when(kind == "person", person_like(value, F.col("gender"), keyed, attempt))
-        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+[0-9]{1,3}?)?(?=[0-9]{9,10}$)", 1), same_format(F.regexp_extract(value, r"^(?:\+[0-9]{1,3}?)?([0-9]{9,10})$|^(.*)$", 1), d)))
+        .when(kind == "phone", F.concat(phone_head(value), same_format(F.substr(value, F.length(phone_head(value)) + 1), d)))
         .otherwise(same_format(value, d))
     )
 
@@ -177,10 +212,22 @@ def dressed(kind: Column, raw: Column, surrogate: Column) -> Column:
     slots = F.split(raw, "")
     # The k-th character that is no separator becomes the surrogate's k-th.
     filled = F.aggregate(slots, F.struct(F.lit(0).alias("k"), F.lit("").alias("s")), lambda a, c: F.struct((a["k"] + F.when(c.rlike("[ ().-]"), 0).otherwise(1)).alias("k"), F.concat(a["s"], F.when(c.rlike("[ ().-]"), c).otherwise(F.substr(surrogate, a["k"] + 1, F.lit(1)))).alias("s")), lambda a: a["s"])
-    title = F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1)
+    title = F.regexp_extract(raw, f"^({_BEFORE})", 1)
     return F.when(kind.isin("phone", "card", "ssn", "iban"), filled).when(kind == "person", F.concat(title, surrogate)).otherwise(surrogate)
 
 
+def with_gender(named: DataFrame) -> DataFrame:
+    """Settles gender (m, f, n or empty) of distinct (raw, kind, value, gender), so that it tells persons apart.
+
+    A mention of unknown gender is of the one gender that other mentions of the name have. Mentions
+    of either gender are two persons, and one of unknown gender is a third. A family name alone
+    is one entity, whoever bears it.
+    """
+    known = named.where("kind = 'person' and gender in ('m', 'f')").groupBy("value").agg(F.min("gender").alias("low"), F.max("gender").alias("high"))
+    settled = F.when((F.col("kind") != "person") | ~F.col("value").contains(" "), "").when((F.col("gender") == "n") & (F.col("low") == F.col("high")), F.col("low")).otherwise(F.col("gender"))
+    return named.join(known, "value", "left").select("raw", "kind", "value", settled.alias("gender"))
+
+
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities) of every row, each entity replaced by its surrogate.
 
@@ -193,13 +240,15 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = stage(found, "found")
     some = F.coalesce(F.size("raws"), F.lit(0)) > 0
     having = found.where(some).withColumn("_key", text_key(F.col("text"))).withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    raws = stage(having.select("_id", "_key", F.explode("raws").alias("raw")).distinct().withColumn("kind", entity_type(F.col("raw"))), "raws")
-    named = raws.withColumns({"value": canonical(F.col("kind"), F.col("raw")), "gender": F.when(F.col("kind") == "person", gender_of(F.col("raw"))).otherwise("")})
-    # A name with and without a title is one person; a known gender goes before an unknown one.
-    entities = named.groupBy("kind", "value").agg(F.min("gender").alias("gender"))
-    chosen = surrogates(entities, key).select("kind", "value", "surrogate")
-    spelled = named.join(chosen, ["kind", "value"]).withColumn("new", dressed(F.col("kind"), F.col("raw"), F.col("surrogate")))
-    maps = spelled.groupBy("_id", "_key").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("news"))
+    raws = stage(having.select("_id", "_key", F.explode("raws").alias("raw")).distinct(), "raws")
+    # What is settled of a spelling is settled once, however many texts it stands in.
+    kinds = raws.select("raw").distinct().withColumn("kind", entity_type(F.col("raw")))
+    named = stage(kinds.withColumns({"value": canonical(F.col("kind"), F.col("raw")), "gender": F.when(F.col("kind") == "person", gender_of(F.col("raw"))).otherwise("")}), "spellings")
+    named = stage(with_gender(named), "named")
+    chosen = surrogates(named.select("kind", "value", "gender").distinct(), key)
+    spelled = named.join(chosen, ["kind", "value", "gender"]).select("raw", dressed(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new"))
+    spelled = stage(spelled, "spelled")  # a plain table, so that a spelling of very many texts can be split
+    maps = raws.join(spelled, "raw").groupBy("_id", "_key").agg(F.map_from_entries(F.collect_list(F.struct("raw", "new"))).alias("news"))
     joined = having.join(maps, ["_id", "_key"]).withColumn("_pieces", F.split("text", PATTERN, -1))
     text = F.array_join(F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.try_element_at("news", F.get("raws", i)), F.lit("")))), "")
     new = joined.select("doc_id", text.alias("text"), F.size("raws").cast("long").alias("n_entities"))
@@ -207,4 +256,5 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """All documents with surrogates; edge cases are those of ``replace_entities``."""
     return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"))
