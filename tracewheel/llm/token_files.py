@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewheel.llm.common import fresh_path, only, stage
+from tracewheel.llm.common import fresh_path, only, stage, text_key
 
 MAGIC = b"TWPLANE1"
 KINDS = ("byte", "bit")
@@ -274,8 +274,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     Returns the manifest (part, file, n_docs, n_ids), kept as a table: only files named in it
     count, so what a lost or repeated task has written is never read. Null doc_ids come first,
-    a null text is empty, equal doc_ids are ordered by text, an empty table gives an empty
-    manifest. Columns other than doc_id and text are ignored. The string of an added token is
+    a null text is empty, equal doc_ids are ordered by the hash of their text, so that very many
+    rows without an id are dealt over partitions too; an empty table gives an empty manifest. Columns other than doc_id and text are ignored. The string of an added token is
     that token, or ordinary text with ``plain_specials``.
     """
 
@@ -300,7 +300,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
-    rows = only(docs, doc_id="long", text="string").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = only(docs, doc_id="long", text="string").withColumn("h", text_key(F.col("text")))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     return stage(rows.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "token-manifest")
 
 
@@ -343,4 +344,5 @@ def token_binary(docs: DataFrame, tokenizer_path: str | None = None, kind: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """What the token files of all documents hold; edge cases are those of ``write_token_files``."""
     return token_binary(spark.read.parquet(f"{sf_dir}/documents.parquet"))
