@@ -325,6 +325,22 @@ def test_decontamination_equals_all_windows(spark, docs, empty):
 SPECIAL = [(900, "hi <|endoftext|> yo"), (901, "<|endoftext|>")]
 
 
+def test_rows_without_an_id_are_dealt_over_token_files(spark):
+    import public_tokenizers
+
+    texts = [f"text number {k} " + prose(k % 9 + 1) for k in range(3000)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    folder = token_files.fresh_path(spark, "tokens-test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    manifest = token_files.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["n_docs"] for r in manifest.collect()) < 1500
+    enc = token_files.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted(len(enc.whole(t)) // 4 + 1 for t in texts)
+    rows = token_files.read_token_files(manifest, folder).orderBy("start").collect()
+    assert sorted(r["n_tokens"] for r in rows) == want and rows[-1]["start"] + rows[-1]["n_tokens"] == sum(want)
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_token_files_round_trip(docs, empty, kind):
     import public_tokenizers
