@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewheel.operators.cycles import quick_probe
 from tracewheel.sources.sequence import as_events
+from tracewheel.sources.traces import FIELDS, each_event
+from tracewheel.storage import fresh_path
 
 STEP = 10_000
 ENOUGH = 10
@@ -32,6 +34,36 @@ def early_stop(events: DataFrame, min_cycle: int = 50, max_cycle: int = 5000, st
     return n, None
 
 
+def read_until_cycle(spark: SparkSession, path: str, min_cycle: int = 50, max_cycle: int = 5000, step: int = STEP) -> tuple[DataFrame, tuple | None]:
+    """(events, cycle) of one trace file, read no further than the first multiple of ``step`` that shows ten repetitions.
+
+    The driver holds ``step`` events at most; they are written to a table, which is probed.
+    """
+    table, rows, cycle = fresh_path(spark, "early"), [], None
+    kind = "seq long, " + ", ".join(f"{n} {t}" for n, t in FIELDS.items())
+
+    def write() -> None:
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(table)
+        rows.clear()
+
+    def visit(event: dict) -> bool:
+        nonlocal cycle
+        n = visit.seen + 1
+        rows.append((visit.seen, *(event[f] for f in FIELDS)))
+        visit.seen = n
+        if n % step == 0:
+            write()
+            found = probe_prefix(as_events(spark.read.schema(kind).parquet(table)), n, min_cycle, max_cycle)
+            cycle = found if found and found[3] >= ENOUGH else None
+        return cycle is None
+
+    visit.seen = 0
+    each_event(spark, path, visit)
+    if rows or not visit.seen:
+        write()
+    return as_events(spark.read.schema(kind).parquet(table)), cycle
+
+
 def watch_trace(stream: DataFrame, table: str, checkpoint: str, on_cycle: Callable[[tuple], None], min_cycle: int = 50, max_cycle: int = 5000, step: int = STEP) -> StreamingQuery:
     """Appends a stream of events (seq, name, dur) to the Parquet folder ``table`` and probes what is there.
 
