@@ -241,24 +241,34 @@ def simple_cycles(events: DataFrame, min_length: int = MIN_LENGTH, batch: int =
     """
     pairs = with_previous(events, ["trace_id", "name"]).where(F.col("seq") - F.col("prev") >= min_length)
     pairs = staged(pairs.select("trace_id", F.col("prev").alias("start"), F.col("seq").alias("i"), (F.col("seq") - F.col("prev")).alias("cycle_len")), "repeats")
-    state = staged(trace_sizes(events).select("trace_id", (F.col("n_events") - 2 * min_length).alias("most"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("seen"), F.lit(batch).cast("long").alias("size")), "scan")
+    state = staged(trace_sizes(events).select("trace_id", (F.col("n_events") - 2 * min_length).alias("most"), F.lit(0).cast("long").alias("at"), F.lit(-1).cast("long").alias("seen")), "scan")
     done: list[DataFrame] = []
+    size = batch
     while True:
         live = state.where("at < most")
         ahead = small_join(pairs, live, ["trace_id"], (F.col("start") >= F.col("at")) & (F.col("i") > F.col("seen")))
         order = Window.partitionBy("trace_id").orderBy("i")
-        tried = staged(ahead.withColumn("r", F.row_number().over(order)).where("r <= size").withColumn("cycle_id", F.concat_ws(":", "trace_id", "i")), "tried")
+        # A bound that is a constant is applied where rows lie, before they are shuffled.
+        tried = ahead.select("trace_id", "start", "i", "cycle_len").withColumn("r", F.row_number().over(order)).where(F.col("r") <= size)
+        tried = staged(tried.withColumn("cycle_id", F.concat_ws(":", "trace_id", "i")), "tried")
         if not tried.limit(1).count():
             break
-        good = consecutive_repetitions(repetition_matches(events, tried)).where("reps >= 5")
-        found = tried.join(good, ["trace_id", "cycle_id"]).groupBy("trace_id").agg(F.min(F.struct("i", "start", "cycle_len", "reps")).alias("f"))
-        found = staged(found.select("trace_id", "f.start", "f.cycle_len", "f.reps"), "found")
-        done.append(found)
+        # Five repetitions are looked for in all candidates, and all repetitions of the first that has them.
+        good = consecutive_repetitions(repetition_matches(events, tried, first_reps=5)).where("reps >= 5")
+        found = tried.join(good, ["trace_id", "cycle_id"]).groupBy("trace_id").agg(F.min(F.struct("i", "start", "cycle_len", "cycle_id")).alias("f"))
+        found = staged(found.select("trace_id", "f.start", "f.cycle_len", "f.cycle_id"), "found")
+        hits = found.count()
+        if hits:
+            reps = consecutive_repetitions(repetition_matches(events, found))
+            found = staged(found.join(reps, ["trace_id", "cycle_id"]).drop("cycle_id"), "found")
+            done.append(found.select("trace_id", "start", "cycle_len", "reps"))
+        else:
+            found = found.select("trace_id", "start", "cycle_len", F.lit(0).cast("long").alias("reps"))
         tops = tried.groupBy("trace_id").agg(F.max("i").alias("top"))
-        after = F.col("start") + F.col("cycle_len") * F.col("reps")
-        moved = live.join(tops, "trace_id").join(found, "trace_id", "left")
         hit = F.col("reps").isNotNull()
-        state = staged(moved.select("trace_id", "most", F.when(hit, after).otherwise(F.col("at")).alias("at"), F.when(hit, F.lit(-1).cast("long")).otherwise(F.col("top")).alias("seen"), F.when(hit, F.lit(batch).cast("long")).otherwise(F.col("size") * 4).alias("size")), "scan")
+        moved = live.join(tops, "trace_id").join(found, "trace_id", "left")
+        state = staged(moved.select("trace_id", "most", F.when(hit, F.col("start") + F.col("cycle_len") * F.col("reps")).otherwise(F.col("at")).alias("at"), F.when(hit, F.lit(-1).cast("long")).otherwise(F.col("top")).alias("seen")), "scan")
+        size = batch if hits else size * 4
     out = events.sparkSession.createDataFrame([], "trace_id long, start long, cycle_len long, reps long")
     for found in done:
         out = out.unionByName(found)
