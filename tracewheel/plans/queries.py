@@ -27,6 +27,11 @@ def shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], tuple
     return _MADE[key]
 
 
+def forget_shared() -> None:
+    """The next query makes the tables that it shares with others anew; the trace itself stays."""
+    _MADE.clear()
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Names with an odd signature, category or number at the end.
