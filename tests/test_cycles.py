@@ -1,11 +1,13 @@
 """Detectors on small traces made by hand, against plain Python."""
 
 import random
+import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewheel.functions.names import cut_bytes, truncated
-from tracewheel.operators import anchors, cycles
+from tracewheel.operators import anchors, cycles, stats
 
 rng = random.Random(4)
 
@@ -93,3 +95,30 @@ def test_first_repeat_and_distinct_kmers(spark):
     e = trace(spark, list("abcdbxyzb"), list("abc"), ids=[5, 9])
     assert [tuple(r) for r in cycles.first_repeats(e).collect()] == [(5, 4)]
     assert sorted(tuple(r) for r in cycles.distinct_kmers(e, 2).collect()) == [(5, 8), (9, 2)]
+
+
+@pytest.mark.parametrize("contiguous", [True, False])
+def test_cycle_stats_broadcast_no_row_a_position(spark, contiguous, tmp_path):
+    """Few instances have many positions: those of a long trace do not fit the driver. Against plain Python."""
+    size, shape = 500_007, {"long": (0, 5, 1000, 500), "whole": (0, 0, 10, 50_000), "past": (0, 499_990, 10, 4), "short": (1, 3, 11, 1)}
+    dur = (F.col("seq") * 7919 % 1013).cast("double")
+    events = spark.range(size).select(F.lit(0).cast("long").alias("trace_id"), F.col("id").alias("seq"))
+    events = events.union(spark.range(40).select(F.lit(1).cast("long"), "id")).withColumns({"name": F.concat(F.lit("k"), (F.col("seq") % 10).cast("string")), "dur": dur})
+    rows = [(t, c, start, length, reps) for c, (t, start, length, reps) in shape.items()]
+    spark.createDataFrame(rows, "trace_id long, cycle_id string, start long, cycle_len long, reps long").coalesce(1).write.parquet(f"{tmp_path}/found")
+    found = spark.read.parquet(f"{tmp_path}/found")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "64m")  # one page of memory is 32 MB, the million positions take more than 64
+    try:
+        got = stats.cycle_stats(events, found, None if contiguous else stats.contiguous_instances(found), sample=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    got = {(r["cycle_id"], r["index"]): r for r in got}
+    want = {}
+    for c, (t, start, length, reps) in shape.items():
+        for at in range(start, min(start + length * reps, (size, 40)[t])):
+            want.setdefault((c, (at - start) % length), []).append(at)
+    assert got.keys() == want.keys()
+    for key, places in want.items():
+        d, r = [at * 7919 % 1013 for at in places], got[key]
+        assert (r["name"], r["cnt"], r["min_dur"], r["max_dur"], r["total_dur"]) == (f"k{places[0] % 10}", len(d), min(d), max(d), sum(d))
+        assert r["stddev"] == pytest.approx(statistics.stdev(d) if len(d) > 1 else 0.0) and r["avg_dur"] == pytest.approx(statistics.mean(d))

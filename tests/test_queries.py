@@ -13,6 +13,10 @@ def test_query_equals_its_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SF), duck.sql(ORACLES[name]).df())
 
 
+def test_sample_statistics_equal_their_sql(spark, duck):
+    same_rows(QUERIES["cycle_stats_sample"](spark, SF), duck.sql(ORACLES["cycle_stats_sample"]).df())
+
+
 def test_known_results_of_the_derived_trace(spark):
     found = QUERIES["cycle_patterns"](spark, SF).collect()
     assert len(found) == 4

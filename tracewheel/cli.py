@@ -138,7 +138,7 @@ def kmer(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = found.orderBy("trace_id", F.col("start") + F.floor(F.col("cycle_len") * F.col("reps") / 2)).collect()
     if not rows:
         raise Stop("no cycles were found")
-    s = staged(stats.cycle_stats(events, found, stats.contiguous_instances(found), sample=True), "stats")
+    s = staged(stats.cycle_stats(events, found, sample=True), "stats")
     header = stats.cycle_header(found, s, sample=True)
     base = a.output or os.path.splitext(a.input)[0]
     for k, r in enumerate(rows, 1):

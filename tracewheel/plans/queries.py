@@ -104,7 +104,7 @@ def cycle_stats(spark, sf):
 
 def cycle_stats_sample(spark, sf):
     e, best, _ = _outer(spark, sf)
-    s = stats.cycle_stats(e, best, stats.contiguous_instances(best), sample=True)
+    s = staged(stats.cycle_stats(e, best, sample=True), "stats")
     return plain(stats.with_share(s, stats.cycle_header(best, s, sample=True)).drop("cycle_id", "total_dur"))
 
 
